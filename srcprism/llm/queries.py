@@ -4,22 +4,80 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import bpe, langid, packing, secrets, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def _spans(found: Column, kinds: list[str], by_kind: bool) -> Column:
+    """kind:start:end, joined by commas; by kind then start, or by start then kind."""
+    ranked = F.transform(
+        found,
+        lambda x: F.struct(
+            *(
+                [F.array_position(F.array(*map(F.lit, kinds)), x["kind"]).alias("a"), x["start"].alias("b")]
+                if by_kind
+                else [x["start"].alias("a"), F.array_position(F.array(*map(F.lit, kinds)), x["kind"]).alias("b")]
+            ),
+            x["end"].alias("end"),
+            x["kind"].alias("kind"),
+            x["start"].alias("start"),
+        ),
+    )
+    return F.array_join(F.transform(F.array_sort(ranked), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in secrets.RULES]
+    base = [r.kind for r in secrets.RULES if r.base]
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    own = F.filter("found", lambda x: x["kind"].isin(base))
+    return found.select(
+        "doc_id",
+        *map(count, base),
+        F.sha2(_spans(own, kinds, False).cast("binary"), 256).alias("base_sha256"),
+        _spans(F.col("found"), kinds, False).alias("spans"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op3_langid": op3_langid,
+    "op4_packing": op4_packing,
+    "op6_sharding": op6_sharding,
+    "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
 }
 
