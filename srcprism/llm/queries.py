@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, secrets, sharding, simhash
+from . import bpe, langid, lsh, packing, pii, pq, secrets, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
     return placed.select(
@@ -53,6 +57,24 @@ def _spans(found: Column, kinds: list[str], by_kind: bool) -> Column:
     return F.array_join(F.transform(F.array_sort(ranked), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+def op7_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    plain = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
+    term = lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
+    base = F.transform("found", plain)
+    return found.select(
+        "doc_id",
+        *map(count, pii.PATTERNS),
+        F.sha2(_spans(base, pii.KINDS, True).cast("binary"), 256).alias("base_sha256"),
+        _spans(F.concat(base, F.transform("terms", term)), pii.KINDS, True).alias("spans"),
+    )
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents"))
     kinds = [r.kind for r in secrets.RULES]
@@ -76,7 +98,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_langid": op3_langid,
     "op4_packing": op4_packing,
+    "op5_pq": op5_pq,
     "op6_sharding": op6_sharding,
+    "op7_lsh": op7_lsh,
+    "op8_pii": op8_pii,
     "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
 }
