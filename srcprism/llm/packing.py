@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
@@ -282,3 +283,8 @@ def pack_examples(examples: DataFrame, limits: Limits) -> DataFrame:
         "cast(example_id as long) example_id", "coalesce(cast(tokens as long), 0L) tokens", "coalesce(cast(loss_tokens as long), 0L) loss_tokens"
     )
     return rows.mapInArrow(run, "example_id long, sequence_id long, offset long, tokens long, loss_tokens long")
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the pieces of all documents, placed into sequences."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))

@@ -174,3 +174,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE, dep
     moved = common.cut(grouped.join(least, "root").select("fp", "least"))
     table = reps.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return prints.join(table, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each component the document with the smallest doc_id stays.
+
+    Rows without a doc_id stay, as no other row can stand for them by name. Where rows repeat,
+    one of them stays. Only the ids that go are looked up, so texts move only if those ids are
+    too many to broadcast.
+    """
+    found = common.cut(near_duplicates(docs))
+    gone = common.cut(found.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
