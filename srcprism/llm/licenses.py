@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from . import common
 
 GRAM, WINDOW = 3, 3
-#: Words that the alignment may drift from its diagonal, and the coverage reported.
+#: Words that the alignment may drift from its diagonal (a quarter of a short template's), and
+#: the coverage reported.
 BAND, LEAST = 12, 0.6
 
 TEMPLATES = {
@@ -105,6 +106,7 @@ class Scanner:
         ]
         if any(len(s) < GRAM for s in self.seqs):
             raise ValueError(f"a template needs {GRAM} words")
+        self.bands = [min(BAND, max(1, len(s) // 4)) for s in self.seqs]
         self.index: dict[int, list[tuple[int, int]]] = {}
         for k, seq in enumerate(self.seqs):
             for at in self.winnow(self.grams(seq)):
@@ -142,7 +144,7 @@ class Scanner:
             return []
         found = []
         for k, diagonal in self._candidates(spots[hit], h[hit]):
-            got = self._align(self.seqs[k], seq, diagonal)
+            got = self._align(self.seqs[k], seq, diagonal, self.bands[k])
             if got and got[0] / len(self.seqs[k]) >= LEAST:
                 found.append((got[0], k, got[1], got[2]))
         if not found:
@@ -166,15 +168,15 @@ class Scanner:
         hits = sorted({(k, int(i) - at) for i, g in zip(spots, h, strict=True) for k, at in self.index[int(g)]})
         out: list[tuple[int, int]] = []
         for k, d in hits:
-            if not out or out[-1][0] != k or d - out[-1][1] > BAND:
+            if not out or out[-1][0] != k or d - out[-1][1] > self.bands[k]:
                 out.append((k, d))
         return out
 
     @staticmethod
-    def _align(t: np.ndarray, seq: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
+    def _align(t: np.ndarray, seq: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int] | None:
         """Longest common subsequence within the band: words matched, first and last place."""
-        width = 2 * BAND + 1
-        first = diagonal - BAND
+        width = 2 * band + 1
+        first = diagonal - band
         best = np.zeros(width, dtype=np.int64)
         begin = np.full(width, -1, dtype=np.int64)
         last = np.full(width, -1, dtype=np.int64)
