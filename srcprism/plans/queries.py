@@ -670,3 +670,42 @@ def dep_straddle(v: Views) -> DataFrame:
 def dep_totals(v: Views) -> DataFrame:
     rows = v.table("part").select(_dep_path().alias("path"), F.col("p_size").alias("lines"), (F.col("p_size") % 5 == 0).cast("int").alias("secrets"), (F.col("p_size") % 2).alias("suppressions"))
     return C.dependency_totals(rows)
+
+
+# -- sources, reports and streams -----------------------------------------------------
+
+
+@query(
+    """SELECT 'doc.ts' AS kind, count(*) AS n FROM documents WHERE text IS NOT NULL AND len(string_split(text, chr(10))) > 0"""
+)
+def scan_sources(v: Views) -> DataFrame:
+    """The lexing front-end over whole texts, as sources of a language that needs a lexer."""
+    from ..sources import extract as X
+
+    d = v.table("documents").where("text is not null")
+    rows = d.select(F.concat(F.lit("d/"), "doc_id", F.lit(".ts")).alias("path"), F.lit("ts").alias("lang"), "text", F.lit(False).alias("is_test_file"), F.lit(False).alias("is_script_file"))
+    facts = X.extract(rows).where("lines >= 0 and size(mentions) >= 0")
+    return facts.groupBy(F.lit("doc.ts").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT metric, measured, violated, rate FROM (SELECT metric, count(*) AS measured, count(*) FILTER (WHERE bad) AS violated, round(count(*) FILTER (WHERE bad) / count(*)::DOUBLE, 6) AS rate FROM (SELECT *, coalesce(value > hi, FALSE) OR coalesce(value < lo, FALSE) AS bad FROM banded) GROUP BY metric) WHERE violated > 0 ORDER BY rate DESC, metric LIMIT 5")
+def brief_report(v: Views) -> DataFrame:
+    from . import report
+
+    return report.brief(v.banded())
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS changes, round(sum(value), 4) AS weight FROM events GROUP BY ALL")
+def stream_churn(v: Views) -> DataFrame:
+    from ..streaming import jobs
+
+    return jobs.drain(jobs.windowed_churn(jobs.event_stream(v.spark, v.sf_dir, "events")), "complete")
+
+
+@query("SELECT event_type AS metric, 'u' || user_id AS path, 'k' || user_id AS unit, max(value) AS value FROM events GROUP BY ALL")
+def stream_ratchet(v: Views) -> DataFrame:
+    from ..streaming import jobs
+
+    e = jobs.event_stream(v.spark, v.sf_dir, "events")
+    rows = e.select(F.col("event_type").alias("metric"), F.concat(F.lit("u"), "user_id").alias("path"), F.concat(F.lit("k"), "user_id").alias("unit"), "value")
+    return jobs.drain(jobs.worst_so_far(rows), "complete")
