@@ -297,7 +297,7 @@ def close_run(run: list[int], rows: dict[int, str], lines: list[str], facts: dic
 
 def prose(line: int, role: str, text: str) -> dict:
     text = re.sub(r"```.*?```|`[^`]*`|https?://\S+|^\s{4,}.*$", " ", text, flags=re.S | re.M)
-    return {"line": line, "role": role, "words": min(65535, len(re.findall(r"\w+", text))), "sentences": min(255, len(re.findall(r"[.!?](?:\s|$)", text)) or bool(text.strip()))}
+    return {"line": line, "role": role, "words": min(65535, len(re.findall(r"\w+", text))), "sentences": min(255, len(re.findall(r"[.!?](?:\s|$)", text)) or int(bool(text.strip())))}
 
 
 def class_groups(node: ast.ClassDef) -> int:
