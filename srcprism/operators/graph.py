@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,13 +63,92 @@ def dir_edges(graph: DataFrame) -> DataFrame:
     return d.where("src <> dst").where(~above).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def components(graph: DataFrame) -> DataFrame:
+#: Edges up to which one task orders a whole graph: about 200 bytes an edge in its memory.
+ONE_TASK = 1_000_000
+
+
+def _searched(edges: pd.DataFrame) -> tuple[np.ndarray, list[list[int]], list[int], list[int], list[list[int]]]:
+    """Names, successors, component and depth of each node, and the components as they close:
+    a component closes after all that it reaches."""
+    names, codes = np.unique(np.concatenate([edges["src"], edges["dst"]]).astype(str), return_inverse=True)
+    n = len(names)
+    out: list[list[int]] = [[] for _ in range(n)]
+    for a, b in zip(codes[: len(edges)].tolist(), codes[len(edges) :].tolist(), strict=True):
+        out[a].append(b)
+    seen, low, group, depth, stack, count = [0] * n, [0] * n, [-1] * n, [0] * n, [], 0
+    closed: list[list[int]] = []
+    for root in range(n):
+        work = [] if seen[root] else [(root, iter(out[root]))]
+        if work:
+            count += 1
+            seen[root] = low[root] = count
+            stack.append(root)
+        while work:
+            v, rest = work[-1]
+            w = next(rest, None)
+            if w is not None:
+                if not seen[w]:
+                    count += 1
+                    seen[w] = low[w] = count
+                    stack.append(w)
+                    work.append((w, iter(out[w])))
+                elif group[w] < 0:
+                    low[v] = min(low[v], seen[w])
+                continue
+            work.pop()
+            if work:
+                low[work[-1][0]] = min(low[work[-1][0]], low[v])
+            if low[v] == seen[v]:
+                members = []
+                while not members or members[-1] != v:
+                    members.append(stack.pop())
+                least = min(members)
+                for m in members:
+                    group[m] = least
+                below = [depth[w] for m in members for w in out[m] if group[w] != least]
+                for m in members:
+                    depth[m] = 1 + max(below, default=0)
+                closed.append(members)
+    return names, out, group, depth, closed
+
+
+def _ordered(edges: pd.DataFrame) -> pd.DataFrame:
+    names, _, group, depth, _ = _searched(edges)
+    return pd.DataFrame({"node": names, "scc": names[group] if len(names) else [], "depth": depth})
+
+
+def _blasted(edges: pd.DataFrame, width: int = 1024) -> pd.DataFrame:
+    """(node, blast): dependents are carried down the components in blocks of ``width`` bits."""
+    names, out, group, _, closed = _searched(edges)
+    below = {group[c[0]]: {group[w] for m in c for w in out[m]} - {group[c[0]]} for c in closed}
+    total = dict.fromkeys(below, 0)
+    for first in range(0, len(names), width):
+        bits = dict.fromkeys(below, 0)
+        for i in range(first, min(first + width, len(names))):
+            bits[group[i]] |= 1 << (i - first)
+        for c in reversed(closed):
+            mine = bits[group[c[0]]]
+            if mine:
+                total[group[c[0]]] += mine.bit_count()
+                for d in below[group[c[0]]]:
+                    bits[d] |= mine
+    return pd.DataFrame({"node": names, "blast": [total[g] - 1 for g in group]})
+
+
+def ordered(graph: DataFrame) -> DataFrame:
+    """(node, scc, depth) of a graph that one task can hold."""
+    return graph.select(F.lit(1).alias("g"), "src", "dst").groupBy("g").applyInPandas(_ordered, "node string, scc string, depth int")
+
+
+def components(graph: DataFrame, most: int = ONE_TASK) -> DataFrame:
     """(node, scc): strongly connected components, named by their least node.
 
-    Forward-backward colouring: the largest colour is spread along the edges; inside a colour,
+    Up to ``most`` edges one task searches the graph. Beyond, forward-backward colouring: the largest colour is spread along the edges; inside a colour,
     what reaches its root backwards is that root's component. Settled nodes leave the graph,
     and each round settles a component for every colour.
     """
+    if graph.count() <= most:
+        return ordered(graph).select("node", "scc")
     nodes = graph.select(F.col("src").alias("node")).union(graph.select("dst")).distinct()
     done, live, left = None, _cut(graph), _cut(nodes)
     while not left.isEmpty():
@@ -127,11 +208,14 @@ def condensation(graph: DataFrame, scc: DataFrame) -> DataFrame:
     return graph.join(s, "src").join(d, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
-def depths(graph: DataFrame, scc: DataFrame) -> DataFrame:
+def depths(graph: DataFrame, scc: DataFrame | None = None, most: int = ONE_TASK) -> DataFrame:
     """(node, depth): the longest chain of components below a module; a leaf's is 1.
 
-    Level by level: a component's depth settles in as many rounds as the chain is long.
+    Up to ``most`` edges the search that finds the components tells. Beyond, level by level: a component's depth settles in as many rounds as the chain is long.
     """
+    if graph.count() <= most:
+        return ordered(graph).select("node", "depth")
+    scc = _cut(components(graph, most)) if scc is None else scc
     dag = _cut(condensation(graph, scc))
     level = _cut(scc.select(F.col("scc").alias("c")).distinct().withColumn("depth", F.lit(1)))
     while True:
@@ -164,9 +248,17 @@ def reach(graph: DataFrame) -> DataFrame:
             return every.where("node <> by")
 
 
-def blast_radius(modules: DataFrame, closure: DataFrame) -> DataFrame:
-    """Modules that a change to each one can reach, none included."""
-    counts = closure.groupBy("node").agg(F.count("*").alias("blast"))
+def blast_radius(modules: DataFrame, graph: DataFrame, most: int = ONE_TASK) -> DataFrame:
+    """Modules that a change to each one can reach, itself left out.
+
+    Up to ``most`` edges one task carries the dependents down the graph; beyond, the closure is
+    built and counted.
+    """
+    if graph.count() <= most:
+        one = graph.select(F.lit(1).alias("g"), "src", "dst")
+        counts = one.groupBy("g").applyInPandas(lambda rows: _blasted(rows[["src", "dst"]]), "node string, blast long")
+    else:
+        counts = reach(graph).groupBy("node").agg(F.count("*").alias("blast"))
     return modules.select("path").join(counts, modules.path == counts.node, "left").select("path", F.coalesce("blast", F.lit(0)).cast("long").alias("blast"))
 
 

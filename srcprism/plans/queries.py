@@ -498,23 +498,22 @@ _DEPTH = f"""{_SCC}, dag AS (SELECT DISTINCT a.scc AS s, b.scc AS d FROM edges e
 
 @query(f", {_DEPTH}, l AS (SELECT list_sort(list(depth)) AS l, count(*) AS n FROM scc JOIN level ON c = scc) SELECT n, l[round((n - 1) * 0.5::DOUBLE)::BIGINT + 1]::DOUBLE AS p50, l[round((n - 1) * 0.9::DOUBLE)::BIGINT + 1]::DOUBLE AS p90, l[n]::DOUBLE AS deepest FROM l")
 def depth_quantiles(v: Views) -> DataFrame:
-    graph = G._cut(v.edges())
-    return G.depth_quantiles(G.depths(graph, G._cut(G.components(graph))))
+    return G.depth_quantiles(G.depths(v.edges()))
 
 
 @query(f", {_REACH} SELECT m.path, count(r.by_) AS blast FROM names m LEFT JOIN (SELECT * FROM reach WHERE node <> by_) r ON r.node = m.path GROUP BY m.path")
 def blast_radius(v: Views) -> DataFrame:
-    return G.blast_radius(v.names(), G.reach(v.edges()))
+    return G.blast_radius(v.names(), v.edges())
 
 
 @query(f", {_REACH} SELECT m.path, count(r.by_) AS blast FROM names m JOIN (SELECT * FROM reach WHERE node <> by_) r ON r.node = m.path GROUP BY m.path ORDER BY blast DESC, path LIMIT 5")
 def load_bearing(v: Views) -> DataFrame:
-    return G.load_bearing(G.blast_radius(v.names(), G.reach(v.edges())))
+    return G.load_bearing(G.blast_radius(v.names(), v.edges()))
 
 
 @query(f", {_REACH} SELECT count(*) AS judged, count(*) FILTER (WHERE b = 0) AS free, round(100 * count(*) FILTER (WHERE b = 0) / count(*)::DOUBLE, 6) AS share FROM (SELECT m.path, count(r.by_) AS b FROM names m LEFT JOIN (SELECT * FROM reach WHERE node <> by_) r ON r.node = m.path GROUP BY m.path)")
 def deletable(v: Views) -> DataFrame:
-    return G.deletable(v.names(), G.blast_radius(v.names(), G.reach(v.edges())))
+    return G.deletable(v.names(), G.blast_radius(v.names(), v.edges()))
 
 
 @query("SELECT path FROM names WHERE path NOT IN (SELECT dst FROM edges)")

@@ -55,3 +55,16 @@ def test_entry_reports_violations(spark):
 
     rows = __spark_entry__.entry(spark).collect()
     assert rows and {"metric", "path", "value", "hi", "severity", "rn"} <= set(rows[0].asDict())
+
+
+def test_colouring_agrees_with_the_search(spark):
+    import random
+
+    from srcprism.operators import graph as G
+
+    rng = random.Random(2)
+    df = spark.createDataFrame(sorted({(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(22)}), "src string, dst string").where("src <> dst")
+    assert sorted(map(tuple, G.components(df, 0).collect())) == sorted(map(tuple, G.components(df).collect()))
+    assert sorted(map(tuple, G.depths(df, most=0).collect())) == sorted(map(tuple, G.depths(df).collect()))
+    nodes = df.select(G.F.col("src").alias("path")).union(df.select("dst")).distinct()
+    assert sorted(map(tuple, G.blast_radius(nodes, df, 0).collect())) == sorted(map(tuple, G.blast_radius(nodes, df).collect()))
