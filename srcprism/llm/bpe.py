@@ -141,14 +141,9 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-_coders: dict[tuple[str, str], ByteBPE] = {}
-
-
 def coder(path: str, pattern: str) -> ByteBPE:
     """The coder of a vocabulary, built once in each Python worker."""
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = ByteBPE(read_ranks(path), pattern)
-    return _coders[path, pattern]
+    return common.worker_state("bpe", (path, pattern), lambda: ByteBPE(read_ranks(path), pattern))
 
 
 def _map(docs: DataFrame, path: str, pattern: str, row: Callable, schema: pa.Schema, spark_schema: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -82,6 +83,23 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+_held: dict[str, tuple] = {}
+
+
+def worker_state(name: str, key: object, build: Callable[[], object]) -> object:
+    """What one operator keeps in a Python worker between batches.
+
+    Workers serve one operator after another; only the latest keeps its tables, so their sizes
+    never add up.
+    """
+    if name not in _held or _held[name][0] != key:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _held[name] = (key, build())
+    return _held[name][1]
+
+
 # -- connected components -------------------------------------------------------------
 
 

@@ -214,9 +214,6 @@ def _has_letter(text: str) -> bool:
     return text.isalpha() or any(map(str.isalpha, text))
 
 
-_parsers: dict[int, Parser] = {}
-
-
 def predict(
     docs: DataFrame,
     texts: dict[str, str],
@@ -232,10 +229,8 @@ def predict(
     mark = hash(tuple(sorted(texts.items())))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if mark not in _parsers:
-            _parsers.clear()
-            _parsers[mark] = Parser(shared.value)
-        lang, score, rate = _parsers[mark].predict(batch.column(0).to_pylist())
+        parser = common.worker_state("langid", mark, lambda: Parser(shared.value))
+        lang, score, rate = parser.predict(batch.column(0).to_pylist())
         new = [pa.array(lang, pa.string()), pa.array(score), pa.array(rate)]
         return pa.record_batch(batch.columns[1:] + new, names=[*batch.schema.names[1:], *names])
 

@@ -199,19 +199,15 @@ class Scanner:
         return (int(best[j]), int(begin[j]), int(last[j])) if best[j] else None
 
 
-_scanners: dict[int, Scanner] = {}
-
-
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, template, coverage, start, end): one row per occurrence."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if 0 not in _scanners:
-            _scanners[0] = Scanner()
+        scanner = common.worker_state("licenses", None, Scanner)
         rows = [
             (doc, *x)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for x in (_scanners[0].scan(text) if text else [])
+            for x in (scanner.scan(text) if text else [])
         ]
         columns = list(zip(*rows, strict=True)) or [[]] * 5
         kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]

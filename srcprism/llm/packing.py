@@ -31,13 +31,15 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
+from . import common
 from .bpe import byte_letters
 
 #: Items of a group, and the tokens that a group may hold.
 GROUP, GROUP_TOKENS = 4096, 8_000_000
 #: Encoded words kept by a Python worker; a full cache is emptied.
-CACHE = 300_000
+CACHE = 150_000
 #: Where a byte-level pre-tokenizer cuts.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Id that closes each document.
@@ -133,13 +135,13 @@ class Words:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache: dict[str, bytes] = {}
         self.ranked = self._ranked(path)
+        self.model = None
+        if not self.ranked:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            self.model = Tokenizer.from_file(path)
+            self.model.encode_special_tokens = True  # their strings in a text are ordinary text
 
     @staticmethod
     def _ranked(path: str):
@@ -184,13 +186,8 @@ class Words:
         return out
 
 
-_words: dict[str, Words] = {}
-
-
 def words(path: str) -> Words:
-    if path not in _words:
-        _words[path] = Words(path)
-    return _words[path]
+    return common.worker_state("packing", path, lambda: Words(path))
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -220,13 +220,8 @@ class Scanner:
                 out[i] += [(r, m.start(), m.end()) for m in regex.finditer(texts[i]) if rule.check is None or rule.check(m)]
 
 
-_scanners: dict[int, Scanner] = {}
-
-
 def scanner() -> Scanner:
-    if 0 not in _scanners:
-        _scanners[0] = Scanner()
-    return _scanners[0]
+    return common.worker_state("secrets", None, Scanner)
 
 
 def scan(docs: DataFrame) -> DataFrame:
