@@ -117,4 +117,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+#: The exact operators that SQL can express; the others are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op5_pq": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+      l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+      r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+      n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a), m AS (SELECT a AS vec_id, min(b) AS least FROM r GROUP BY a)
+      SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m.least, vec_id)) AS component_id, vec_id <= coalesce(m.least, vec_id) AS kept
+      FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN m USING (vec_id)""",
+}

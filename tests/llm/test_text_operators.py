@@ -222,7 +222,7 @@ def test_sharding_balances_and_keeps_groups(docs, rows, nothing):
 
 def test_schedule_is_longest_first_to_the_least_loaded():
     parcels = [("a", 7), ("b", 5), ("c", 5), ("d", 4), ("e", 4), ("f", 3)]
-    assert sharding.schedule(parcels, 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1, "f": 0} or True
+    assert sharding.schedule(parcels, 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1, "f": 0}
     loads = defaultdict(int)
     for p, s in sharding.schedule(parcels, 2).items():
         loads[s] += dict(parcels)[p]
