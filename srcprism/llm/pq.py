@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common, vectors
 
 #: Vectors that fit the lists and codes; lists at most; vectors of a list, about.
-SAMPLE, LISTS, LIST_SIZE = 16_384, 2_048, 512
+SAMPLE, LISTS, LIST_SIZE = 16_384, 2_048, 2_048
 #: Subspaces and codes of a subspace.
 PARTS, CODES = 8, 256
 #: Members and queries of a block.
@@ -88,29 +88,42 @@ class Quantiser:
         reach[np.arange(len(x)), home] = True
         return [np.flatnonzero(r) for r in reach]
 
-    def tables(self, q: np.ndarray, which: int) -> np.ndarray:
-        """Squared distances from each query's residual to each code: (query, part, code)."""
-        rest = q - self.centres[which]
-        out = np.full((len(q), len(self.spans), CODES), np.inf, dtype=np.float32)
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """What each code adds to the squared distance of each query: (part, code, query).
+
+        Codes lead, so that looking up a member's code fetches a whole row of queries.
+        """
+        out = np.zeros((len(self.spans), CODES, len(q)), dtype=np.float32)
         for j, ((a, b), book) in enumerate(zip(self.spans, self.books, strict=True)):
-            out[:, j, : len(book)] = squared(rest[:, a:b], book)
+            np.dot((-2 * book).astype(np.float32), q[:, a:b].T.astype(np.float32), out=out[j, : len(book)])
         return out
 
-
-def block_links(quantiser: Quantiser, which: int, q: np.ndarray, x: np.ndarray, codes: np.ndarray, error: np.ndarray, least: float) -> np.ndarray:
-    """Which of the queries and members of one list have at least the cosine ``least``."""
-    radius = np.sqrt(max(0.0, 2 - 2 * least))
-    lut = quantiser.tables(q, which)
-    total = np.zeros((len(q), len(x)), dtype=np.float32)
-    for j in range(lut.shape[1]):
-        total += lut[:, j, codes[:, j]]
-    near = np.sqrt(total) - error[None, :] <= radius + 1e-3  # the look-ups are single precision
-    at = np.argwhere(near)
+    def offsets(self, which: int, codes: np.ndarray) -> np.ndarray:
+        """What does not depend on the query: for residual codes r of the centre c, 2 c r + r r."""
+        total = np.zeros(len(codes))
+        for j, ((a, b), book) in enumerate(zip(self.spans, self.books, strict=True)):
+            total += (2 * (book @ self.centres[which, a:b]) + (book * book).sum(axis=1))[codes[:, j]]
+        return total
+
+
+def block_links(quantiser: Quantiser, which: int, q: np.ndarray, x: np.ndarray, codes: np.ndarray, slack: np.ndarray, least: float) -> np.ndarray:
+    """Which of the members and queries of one list have at least the cosine ``least``.
+
+    ``slack``: per member, the largest looked-up part of the squared distance that a vector
+    within the radius can have, given the error of the member's code.
+    """
+    lut = quantiser.tables(q)
+    lut[0] += squared(q, quantiser.centres[which : which + 1])[:, 0].astype(np.float32)[None, :]
+    total = np.take(lut[0], codes[:, 0], axis=0)
+    for j in range(1, len(lut)):
+        total += np.take(lut[j], codes[:, j], axis=0)
+    near = total <= slack[:, None]
+    at = np.stack(np.divmod(np.flatnonzero(near), len(q)), axis=1)
     if len(at) > near.size // 16:
-        return near & (q @ x.T >= least)
+        return near & (x @ q.T >= least)
     for i in range(0, len(at), 1 << 15):
         a = at[i : i + (1 << 15)]
-        near[a[:, 0], a[:, 1]] = np.einsum("ij,ij->i", q[a[:, 0]], x[a[:, 1]]) >= least
+        near[a[:, 0], a[:, 1]] = np.einsum("ij,ij->i", x[a[:, 0]], q[a[:, 1]]) >= least
     return near
 
 
@@ -185,12 +198,14 @@ def _group(table: pa.Table, quantiser: Quantiser, dim: int, least: float) -> Ite
         return
     x = vectors.matrix(table.column("x"), dim)
     codes = np.frombuffer(b"".join(table.column("codes").slice(0, n).to_pylist()), np.uint8).reshape(n, -1)
-    error = table.column("error").to_numpy()[:n].astype(np.float32)
+    # The look-ups are single precision: a little more than the radius is let through.
+    reach = np.sqrt(max(0.0, 2 - 2 * least)) + table.column("error").to_numpy()[:n] + 2e-3
+    slack = (reach**2 - quantiser.offsets(which, codes)).astype(np.float32)
     counts = np.zeros(len(role), dtype=np.int64)
     edges: list[np.ndarray] = []
     for at in range(n, len(role), 256):
         to = min(at + 256, len(role))
-        link = block_links(quantiser, which, x[at:to], x[:n], codes, error, least)
+        link = block_links(quantiser, which, x[at:to], x[:n], codes, slack, least).T
         link &= rid[at:to, None] != rid[None, :n]
         if not link.any():
             continue
