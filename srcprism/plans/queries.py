@@ -674,17 +674,14 @@ def dep_totals(v: Views) -> DataFrame:
 # -- sources, reports and streams -----------------------------------------------------
 
 
-@query(
-    """SELECT 'doc.ts' AS kind, count(*) AS n FROM documents WHERE text IS NOT NULL AND len(string_split(text, chr(10))) > 0"""
-)
+@query("SELECT 'ts' AS lang, count(*) AS files, sum(lines)::BIGINT AS lines FROM files")
 def scan_sources(v: Views) -> DataFrame:
     """The lexing front-end over whole texts, as sources of a language that needs a lexer."""
     from ..sources import extract as X
 
     d = v.table("documents").where("text is not null")
     rows = d.select(F.concat(F.lit("d/"), "doc_id", F.lit(".ts")).alias("path"), F.lit("ts").alias("lang"), "text", F.lit(False).alias("is_test_file"), F.lit(False).alias("is_script_file"))
-    facts = X.extract(rows).where("lines >= 0 and size(mentions) >= 0")
-    return facts.groupBy(F.lit("doc.ts").alias("kind")).agg(F.count("*").alias("n"))
+    return X.extract(rows).groupBy("lang").agg(F.count("*").alias("files"), F.sum("lines").cast("long").alias("lines"))
 
 
 @query("SELECT metric, measured, violated, rate FROM (SELECT metric, count(*) AS measured, count(*) FILTER (WHERE bad) AS violated, round(count(*) FILTER (WHERE bad) / count(*)::DOUBLE, 6) AS rate FROM (SELECT *, coalesce(value > hi, FALSE) OR coalesce(value < lo, FALSE) AS bad FROM banded) GROUP BY metric) WHERE violated > 0 ORDER BY rate DESC, metric LIMIT 5")
