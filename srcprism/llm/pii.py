@@ -43,8 +43,6 @@ WORD = r"\p{L}{4,}+"
 NEAR = 60
 #: Thresholds of disclosure: different texts, bits, share; and the share that is removed.
 SUPPORT, BITS, SHARE, SURE = 5, 4.0, 0.8, 0.95
-#: Candidate words that are broadcast at most; beyond, words are counted before a join.
-FEW = 100_000
 
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -188,12 +186,10 @@ def disclosing(docs: DataFrame, corpus: DataFrame) -> DataFrame:
         .where(F.col("texts") >= SUPPORT)
     )
     joint = common.cut(joint)
-    terms = joint.select("term").distinct()
     words = docs.select(
         F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lower))).alias("term")
     )
-    if terms.count() <= FEW:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
+    # Counted before the join: what is shuffled and joined is distinct words, not their uses.
     counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
     entities = (
         held.select(F.explode(F.array_distinct(F.transform("found", lambda f: F.concat_ws(":", f["kind"], F.lower(f["value"]))))).alias("entity"))
