@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -78,11 +79,22 @@ def map_batches(
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)
+                del batch
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+                give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: several workers share an executor's bound."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _held: dict[str, tuple] = {}
 
 
@@ -95,7 +107,7 @@ def worker_state(name: str, key: object, build: Callable[[], object]) -> object:
     if name not in _held or _held[name][0] != key:
         _held.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _held[name] = (key, build())
     return _held[name][1]
 

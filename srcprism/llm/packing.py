@@ -244,6 +244,8 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits()) -> Dat
                         held, size, rows = [], 0, []
                 if rows:
                     yield emit(rows)
+            del batch, docs_in, texts
+            common.give_back()
         if held:
             yield flush()
 
