@@ -436,3 +436,34 @@ def test_queries_have_the_columns_of_their_contracts(spark, tmp_path, rows):
             sha = {r.doc_id: r.base_sha256 for r in got.collect()}
             found = secret_base(dict((r[0], r[1]) for r in rows)[415])
             assert sha[415] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in found).encode()).hexdigest()
+
+
+def test_pipeline_removes_copies_of_jaccard_08(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(40):
+        words = prose(rng, "en", 120).split()
+        texts.append(" ".join(words))
+        for changes in (1, 2, 3, 4):
+            own = list(words)
+            for at in rng.sample(range(len(own)), changes):
+                own[at] = f"changed{rng.randint(0, 99)}"
+            texts.append(" ".join(own))
+    texts += ["one two", "One  TWO", "", None, "   "]
+    grams = lambda t, w: {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = [grams(t, (t or "").lower().split()) for t in texts]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.stage(spark, df, "").collect()}
+    assert kept == {find(i) for i in range(len(texts))}
