@@ -1,13 +1,16 @@
 """Personal data and the terms that give it away, with DataFrame functions only.
 
 Base spans are found by patterns: e-mail addresses, IPv4 addresses, card numbers that pass the
-Luhn check, and phone numbers. They are the protected entities. Information-theoretic
-sanitisation then looks at the words beside them: over the whole corpus, a word that stands
-near an entity in at least ``SUPPORT`` different texts is measured by its pointwise mutual
-information with the entity, log2(N n(t,e) / (n(t) n(e))), and by the share n(t,e) / n(t) of
-its documents in which it stands near the entity. Words above both thresholds disclose the
-entity: their spans join those of the documents that hold it. ``sanitise`` removes what
-discloses it almost surely and generalises the rest.
+Luhn check, and phone numbers. They are the protected entities, and so is each of the four kinds.
+Information-theoretic sanitisation then looks at the other words of their texts, over the whole
+corpus and counting different texts only: a word is measured by its pointwise mutual information
+with the entity, log2(N n(t,e) / (n(t) n(e))), and by the share n(t,e) / n(t) of its texts that
+hold the entity. A word discloses the entity if that share is at least ``SHARE`` and its
+information over its n(t,e) >= ``LEAST`` texts totals as many bits as ``SUPPORT`` texts of ``BITS``
+bits: a rare entity needs fewer texts, a frequent one more, and none is too frequent. A word
+that only one text shares with a value tells no more than chance would; it is judged by the kind.
+Spans of disclosing words near an entity join those of the documents that hold it.
+``sanitise`` removes what discloses it almost surely and generalises the rest.
 
 The patterns are written so that each match takes time in proportion to its length: a match
 starts at the start of a run or where the last one ended, and repetitions that nothing can
@@ -41,8 +44,10 @@ KINDS = [*PATTERNS, "term"]
 #: Words considered: whole runs of so many letters, within so many characters of an entity.
 WORD = r"\p{L}{4,}+"
 NEAR = 60
-#: Thresholds of disclosure: different texts, bits, share; and the share that is removed.
+#: Thresholds of disclosure: bits in so many texts, share; and the share that is removed.
 SUPPORT, BITS, SHARE, SURE = 5, 4.0, 0.8, 0.95
+#: Different texts that a term shares with an entity at least.
+LEAST = 2
 
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -136,101 +141,112 @@ def base_spans(text: Column) -> Column:
     return F.concat(*each)
 
 
-def _beside(text: Column, found: Column) -> Column:
-    """Words near each span: (entity, term, start, end)."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))  # code point i of the text is at i + 1
-    word = rf"(?<=[^\p{{L}}]){WORD}(?=[^\p{{L}}])"
-
-    def side(f: Column, first: Column, last: Column) -> Column:
-        part = F.substr(padded, first + 1, last - first)
-        return F.transform(
-            located(part, word, "term"),
-            lambda w: F.struct(
-                F.concat_ws(":", f["kind"], F.lower(f["value"])).alias("entity"),
-                F.lower(w["value"]).alias("term"),
-                (w["start"] + first - 1).alias("start"),
-                (w["end"] + first - 1).alias("end"),
-            ),
-        )
+def _entities(found: Column, by_kind: bool) -> Column:
+    name = (lambda f: f["kind"]) if by_kind else (lambda f: F.concat_ws(":", f["kind"], F.lower(f["value"])))
+    return F.array_distinct(F.transform(found, name))
+
+
+def _replaced(text: Column, marks: Column) -> Column:
+    """``text`` with each mark (start, end, by) replaced; a mark that starts inside another is left out."""
+    parts = F.aggregate(
+        F.array_sort(marks),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda a, m: F.when(m["start"] < a["at"], a).otherwise(
+            F.struct(
+                m["end"].alias("at"),
+                F.concat(a["out"], F.array(F.substr(text, a["at"] + 1, m["start"] - a["at"]), m["by"])).alias("out"),
+            )
+        ),
+        lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1)),
+    )
+    return parts
+
 
-    left = lambda f: side(f, F.greatest(F.lit(0), f["start"] - NEAR), f["start"] + 1)
-    right = lambda f: side(f, f["end"] + 1, f["end"] + NEAR + 2)
-    return F.flatten(F.transform(found, lambda f: F.concat(left(f), right(f))))
+def _marks(found: Column, by: Callable[[Column], Column]) -> Column:
+    return F.transform(found, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), by(f).alias("by")))
 
 
 def _corpus(docs: DataFrame, carry_text: bool) -> DataFrame:
-    """Per row: a row id, its base spans, and the words near them."""
+    """Per row: a row id, a hash of the text, its base spans, and the words outside of them.
+
+    Texts are kept where terms have to be located in them.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("found", base_spans(F.col("text")))
-    near = F.when(F.size("found") > 0, _beside(F.col("text"), F.col("found")))
-    kept = ["rid", "doc_id", "same", "found", "near", *(["text"] if carry_text else [])]
+    outside = F.when(F.size("found") > 0, _replaced(F.col("text"), _marks(F.col("found"), lambda _: F.lit(" ")))).otherwise(F.col("text"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(outside, F.lit(WORD), F.lit(0)), F.lower))
+    kept = F.col("text") if carry_text else F.when(F.size("found") > 0, F.col("text"))
     return common.cut(
-        rows.withColumn("near", near)
-        .withColumn("same", F.when(F.size("found") > 0, F.xxhash64("text")))
+        rows.withColumn("same", F.xxhash64("text"))
         .withColumn("rid", F.monotonically_increasing_id())
-        .select(*kept)
+        .select("rid", "doc_id", "same", "found", words.alias("words"), kept.alias("text"))
     )
 
 
-def disclosing(docs: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(entity, term, share): words that disclose an entity, by the thresholds above."""
-    held = corpus.where(F.size("found") > 0)
-    pairs = held.select(
-        "same", F.explode(F.array_distinct(F.transform("near", lambda w: F.struct(w["entity"], w["term"])))).alias("p")
-    ).select("same", "p.entity", "p.term")
-    # Copies of a text are counted before anything is shuffled, and support counts texts once.
-    joint = (
-        pairs.groupBy("entity", "term", "same").count()
-        .groupBy("entity", "term").agg(F.sum("count").alias("n_te"), F.count("*").alias("texts"))
-        .where(F.col("texts") >= SUPPORT)
-    )
+def _texts(corpus: DataFrame) -> DataFrame:
+    """One row of each text. Only the ids of the other copies are looked up."""
+    first = corpus.groupBy("same").agg(F.min("rid").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = corpus.select("rid", "same").join(first, "same").where("rid <> first").select("rid")
+    return corpus.join(common.cut(copies), "rid", "left_anti")
+
+
+def disclosing(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, share): words that disclose an entity; (entity, n_e): the entities considered.
+
+    An entity is a value or a whole kind. A value that one text holds has nothing to be measured
+    by but its kind, so values of at least two texts are paired with words.
+    """
+    held = texts.where(F.size("found") > 0)
+    values = held.select(F.explode(_entities(F.col("found"), False)).alias("entity"))
+    kinds = held.select(F.explode(_entities(F.col("found"), True)).alias("entity"))
+    known = common.cut(values.union(kinds).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= LEAST))
+    joint = _pairs(held, known).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= LEAST)
     joint = common.cut(joint)
-    words = docs.select(
-        F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lower))).alias("term")
-    )
     # Counted before the join: what is shuffled and joined is distinct words, not their uses.
-    counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    entities = (
-        held.select(F.explode(F.array_distinct(F.transform("found", lambda f: F.concat_ws(":", f["kind"], F.lower(f["value"]))))).alias("entity"))
-        .groupBy("entity").agg(F.count("*").alias("n_e"))
-    )
-    total = corpus.count()
-    measured = joint.join(counts, "term").join(entities, "entity")
+    counts = texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    total = texts.count()
+    measured = joint.join(counts, "term").join(known, "entity")
     bits = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
     share = F.col("n_te") / F.col("n_t")
-    return measured.where((bits >= BITS) & (share >= SHARE)).select("entity", "term", share.alias("share"))
+    enough = (bits * F.col("n_te") >= SUPPORT * BITS) & (share >= SHARE)
+    return measured.where(enough).select("entity", "term", share.alias("share")), known
+
+
+def _pairs(held: DataFrame, known: DataFrame) -> DataFrame:
+    """(rid, entity, term): the words of each row with its entities, as far as they are known."""
+    named = held.select("rid", F.explode(F.concat(_entities(F.col("found"), False), _entities(F.col("found"), True))).alias("entity"))
+    named = named.join(known.select("entity"), "entity")
+    words = held.select("rid", F.explode("words").alias("term"))
+    return words.join(named, "rid")
 
 
 def find(docs: DataFrame, carry_text: bool = False) -> DataFrame:
     """(doc_id, found: base spans, terms: array of (start, end, share)) for each row."""
     corpus = _corpus(docs, carry_text)
-    told = common.cut(disclosing(docs, corpus))
-    near = corpus.where(F.size("near") > 0).select("rid", F.explode("near").alias("w")).select("rid", "w.*")
-    hits = near.join(told, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("share").alias("share"))
-    # A document's own spans only: their number is bounded by its length.
-    terms = hits.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
+    told, known = disclosing(_texts(corpus))
+    told = common.cut(told)
+    held = corpus.where(F.size("found") > 0)
+    hits = _pairs(held, known).join(told, ["entity", "term"]).groupBy("rid", "term").agg(F.max("share").alias("share"))
+    # A document's own words only: their number is bounded by its length.
+    shares = hits.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    apart = lambda w: ~F.exists("found", lambda f: (f["start"] < w["end"]) & (w["start"] < f["end"]))
+    near = lambda w: F.exists("found", lambda f: (f["start"] - NEAR < w["end"]) & (w["start"] < f["end"] + NEAR))
+    share = lambda w: F.try_element_at(F.col("shares"), F.lower(w["value"]))
+    spans = F.filter(located(F.col("text"), WORD, "term"), lambda w: share(w).isNotNull())
+    spans = F.filter(spans, lambda w: apart(w) & near(w))
+    spans = F.transform(spans, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), share(w).alias("share")))
     empty = F.array().cast("array<struct<start:int,end:int,share:double>>")
-    out = ["doc_id", "found", F.coalesce("terms", empty).alias("terms"), *(["text"] if carry_text else [])]
-    return corpus.join(terms, "rid", "left").select(*out)
+    terms = F.when(F.col("shares").isNotNull(), spans).otherwise(empty)
+    out = ["doc_id", "found", terms.alias("terms"), *(["text"] if carry_text else [])]
+    return corpus.join(shares, "rid", "left").select(*out)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """(doc_id, text): base spans give way to their kind, disclosing words go or are generalised."""
     rows = find(docs, carry_text=True)
     marks = F.concat(
-        F.transform("found", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), F.concat(F.lit("["), F.upper(f["kind"]), F.lit("]")).alias("by"))),
-        F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["share"] >= SURE, "").otherwise("[TERM]").alias("by"))),
-    )
-    parts = F.aggregate(
-        F.array_sort(marks),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, m: F.when(m["start"] < a["at"], a).otherwise(
-            F.struct(
-                m["end"].alias("at"),
-                F.concat(a["out"], F.array(F.substr(F.col("text"), a["at"] + 1, m["start"] - a["at"]), m["by"])).alias("out"),
-            )
-        ),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substr(F.col("text"), a["at"] + 1)),
+        _marks(F.col("found"), lambda f: F.concat(F.lit("["), F.upper(f["kind"]), F.lit("]"))),
+        _marks(F.col("terms"), lambda t: F.when(t["share"] >= SURE, "").otherwise("[TERM]")),
     )
-    return rows.select("doc_id", parts.alias("text"))
+    return rows.select("doc_id", _replaced(F.col("text"), marks).alias("text"))

@@ -467,3 +467,21 @@ def test_pipeline_removes_copies_of_jaccard_08(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     kept = {r.doc_id for r in simhash.stage(spark, df, "").collect()}
     assert kept == {find(i) for i in range(len(texts))}
+
+
+def test_pii_terms_of_rare_and_of_copied_entities(spark):
+    rng = random.Random(13)
+    # Every value stands in one text: the kind is what the word gives away.
+    rows = [(i, prose(rng, "en", 40) + f" Kontaktmail an{i}@rare.example.com number {i}") for i in range(12)]
+    rows += [(50 + i, prose(rng, "en", 40) + f" number {i}") for i in range(200)]
+    # One of an entity's texts fills a third of all rows.
+    own = [prose(rng, "en", 40) + f" Quellfink +1 555 010 7777 number {i}" for i in range(8)]
+    rows += [(300 + i, own[max(0, i - 100)]) for i in range(108)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    told = defaultdict(set)
+    for r in pii.find(df).collect():
+        told[r.doc_id] |= {text[r.doc_id][t.start : t.end] for t in r.terms}
+    assert all("Kontaktmail" in told[i] for i in range(12))
+    assert all("Quellfink" in told[300 + i] for i in range(108))
+    assert not any("number" in t for t in told.values()) and not any(told[50 + i] for i in range(200))
