@@ -9,7 +9,7 @@ hold the entity. A word discloses the entity if that share is at least ``SHARE``
 information over its n(t,e) >= ``LEAST`` texts totals as many bits as ``SUPPORT`` texts of ``BITS``
 bits: a rare entity needs fewer texts, a frequent one more, and none is too frequent. A word
 that only one text shares with a value tells no more than chance would; it is judged by the kind.
-Spans of disclosing words near an entity join those of the documents that hold it.
+All spans of disclosing words join those of the documents that hold the entity.
 ``sanitise`` removes what discloses it almost surely and generalises the rest.
 
 The patterns are written so that each match takes time in proportion to its length: a match
@@ -41,9 +41,8 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?+){16}", "phone": r"\+[0-9]"}
 KINDS = [*PATTERNS, "term"]
 
-#: Words considered: whole runs of so many letters, within so many characters of an entity.
+#: Words considered: whole runs of so many letters.
 WORD = r"\p{L}{4,}+"
-NEAR = 60
 #: Thresholds of disclosure: bits in so many texts, share; and the share that is removed.
 SUPPORT, BITS, SHARE, SURE = 5, 4.0, 0.8, 0.95
 #: Different texts that a term shares with an entity at least.
@@ -231,10 +230,9 @@ def find(docs: DataFrame, carry_text: bool = False) -> DataFrame:
     # A document's own words only: their number is bounded by its length.
     shares = hits.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
     apart = lambda w: ~F.exists("found", lambda f: (f["start"] < w["end"]) & (w["start"] < f["end"]))
-    near = lambda w: F.exists("found", lambda f: (f["start"] - NEAR < w["end"]) & (w["start"] < f["end"] + NEAR))
     share = lambda w: F.try_element_at(F.col("shares"), F.lower(w["value"]))
     spans = F.filter(located(F.col("text"), WORD, "term"), lambda w: share(w).isNotNull())
-    spans = F.filter(spans, lambda w: apart(w) & near(w))
+    spans = F.filter(spans, apart)
     spans = F.transform(spans, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), share(w).alias("share")))
     empty = F.array().cast("array<struct<start:int,end:int,share:double>>")
     terms = F.when(F.col("shares").isNotNull(), spans).otherwise(empty)

@@ -485,3 +485,14 @@ def test_pii_terms_of_rare_and_of_copied_entities(spark):
     assert all("Kontaktmail" in told[i] for i in range(12))
     assert all("Quellfink" in told[300 + i] for i in range(108))
     assert not any("number" in t for t in told.values()) and not any(told[50 + i] for i in range(200))
+
+
+def test_pii_disclosing_names_far_from_their_entity(spark):
+    rng = random.Random(14)
+    body = lambda: prose(rng, "en", 60)
+    rows = [(i, f"Letter of Fernwald {i}. {body()} Fernwald again. {body()} write to far@away.example.com") for i in range(8)]
+    rows += [(50 + i, f"Letter {i} {body()}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = dict(map(tuple, pii.sanitise(df).collect()))
+    assert all("Fernwald" not in clean[i] and "[EMAIL]" in clean[i] for i in range(8))
+    assert all(clean[i] == t for i, t in rows if i >= 50)
