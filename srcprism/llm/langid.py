@@ -41,11 +41,12 @@ SLICE = 1 << 20
 def sample(labelled: DataFrame) -> dict[str, str]:
     """Learning text per language from (text, lang), within the bounds above.
 
-    Counts per language set a hash threshold that is expected to keep twice the texts needed,
-    so only a bounded number of pieces leaves the executors.
+    Counts of different texts per language set a hash threshold that is expected to keep twice
+    the texts needed, so only a bounded number of pieces leaves the executors.
     """
     rows = labelled.where("text is not null and lang is not null and length(text) > 0")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    order = F.xxhash64("text", F.lit(11))
+    counts = rows.select("lang", order).distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
     if not counts:
         return {}
     each = min(CHARS_PER_LANG, CHARS // len(counts))
@@ -53,7 +54,6 @@ def sample(labelled: DataFrame) -> dict[str, str]:
     parts = 1 << 30
     share = {r["lang"]: min(parts, 2 * want * parts // r["count"] + 1) for r in counts}
     limit = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    order = F.xxhash64("text", F.lit(11))
     piece = F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - PIECE) / 2).cast("int") + 1), F.lit(PIECE))
     kept = rows.where(F.pmod(order, F.lit(parts)) < F.element_at(limit, F.col("lang")))
     # Copies have one hash: they are one text of the sample, however many rows they fill.

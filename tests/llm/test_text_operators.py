@@ -496,3 +496,14 @@ def test_pii_disclosing_names_far_from_their_entity(spark):
     clean = dict(map(tuple, pii.sanitise(df).collect()))
     assert all("Fernwald" not in clean[i] and "[EMAIL]" in clean[i] for i in range(8))
     assert all(clean[i] == t for i, t in rows if i >= 50)
+
+
+def test_langid_learns_a_language_of_copies(spark):
+    rng = random.Random(15)
+    copied = prose(rng, "fr", 40)
+    # A text that a threshold by rows would drop: one in twenty is kept for 10,000 rows.
+    rows = [(copied, "fr")] * 10_000 + [(prose(rng, "de", 40), "de") for _ in range(20)]
+    rows += [(copied + "!", "x1")] * 20_000 + [(copied + "?", "x2")] * 20_000 + [(copied + ".", "x3")] * 20_000
+    df = spark.createDataFrame(rows, "text string, lang string")
+    assert langid.sample(df)["fr"] == copied[(len(copied) - langid.PIECE) // 2 if len(copied) > langid.PIECE else 0 :][: langid.PIECE]
+    assert set(langid.sample(df)) == {"fr", "de", "x1", "x2", "x3"}
