@@ -187,6 +187,31 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+# -- joins with hot keys --------------------------------------------------------------
+
+#: Rows from which a key is hot.
+HOT = 50_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: list[str], counts: DataFrame, ident: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has at most one row of a key of longs (left join).
+
+    ``counts`` (key, n) tells how many rows each key has. Rows of hot keys do not meet: the
+    entries of hot keys, at most one for every HOT rows, are broadcast, and such rows take part
+    in the other join by their own ``ident``, spread over all tasks.
+    """
+    values = [c for c in table.columns if c not in key]
+    hot = cut(counts.where(F.col("n") > HOT).select(*key).join(table, key))
+    if hot.isEmpty():
+        return rows.join(table, key, "left")
+    near = hot.select(*key, F.lit(True).alias("__hot"), *[F.col(c).alias(f"__{c}") for c in values])
+    near = rows.join(F.broadcast(near), key, "left").withColumn("__hot", F.coalesce("__hot", F.lit(False)))
+    places = {f"__at{i}": F.when(F.col("__hot"), F.xxhash64(ident, F.lit(i))).otherwise(F.col(k)) for i, k in enumerate(key)}
+    rest = table.select(F.lit(False).alias("__hot"), *[F.col(k).alias(f"__at{i}") for i, k in enumerate(key)], *values)
+    joined = near.withColumns(places).join(rest, ["__hot", *places], "left")
+    return joined.select(*rows.columns, *[F.when(F.col("__hot"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in values])
+
+
 # -- blocked self-joins ---------------------------------------------------------------
 
 

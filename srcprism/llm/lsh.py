@@ -6,15 +6,17 @@ success: the chance that a neighbour at the distance expected of it lies there,
 the projections. It stops when the cells visited hold the share of that chance that, over all
 tables, makes ``SUCCESS``. Candidates of all tables are merged and ranked by exact cosine.
 The expected distance comes from a bounded sample, in which neighbours are rarer and so
-farther: the estimate is on the safe side. Queries that meet fewer than k rows are answered by
-an exact scan in blocks, so there are always k answers where k rows exist.
+farther: the estimate is on the safe side. Queries that meet fewer than k rows are compared with
+all rows, both dealt into blocks, so there are always k answers where k rows exist.
+
+Each dimension that occurs has tables of its own; vectors of different dimensions have no
+cosine and are no candidates of each other.
 
 Buckets are dealt into blocks, so a hot bucket is spread over tasks; each task keeps the k
 best per query.
 
-Edge cases: vectors that are null, zero, or hold null or non-finite components, those of
-another dimension than most, and rows without vec_id take no part; rows that repeat a query's
-vec_id are its own; ties go to the smaller vec_id; an empty table gives an empty result; other
+Edge cases: vectors that are null, zero, or hold null or non-finite components and rows without
+vec_id take no part; rows that repeat a query's vec_id are its own; ties go to the smaller vec_id; an empty table gives an empty result; other
 columns are not read.
 """
 
@@ -37,8 +39,8 @@ CELL, MOST = 256, 12
 #: Vectors that estimate the distance of neighbours.
 SAMPLE = 8_192
 MEMBERS = 1024
-#: Queries of one exact scan.
-SCAN = 4_096
+#: Rows and queries of a block of the exact scan.
+SCAN, ASKED = 8_192, 1_024
 
 
 class Tables:
@@ -154,92 +156,84 @@ FOUND = "query_id long, vec_id long, score double"
 def search(df: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row, by cosine."""
     spark = df.sparkSession
-    rows, dim = vectors.doubles(df)
-    rows = rows.where("vec_id is not null").withColumn("asks", F.coalesce(is_query, F.lit(False)))
-    count = rows.count()
-    empty = spark.createDataFrame([], FOUND)
-    if not count:
-        return empty.select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    fit = vectors.unit(vectors.sample(rows, count, SAMPLE, "vec_id"))
-    distance = expected_distance(fit, k) if len(fit) else math.sqrt(2)
-    tables = spark.sparkContext.broadcast(Tables(dim, count, distance))
-
-    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
-        t, x = tables.value, vectors.unit(vectors.matrix(batch.column(1), dim))
-        asks = batch.column(2).to_numpy(zero_copy_only=False)
-        places = t.places(x)
-        keys = t.keys(np.floor(places)).T
-        probes = [[[*t.probes(places[j, i]).tolist()] for j in range(TABLES)] if asks[i] else None for i in range(len(x))]
-        kind = pa.list_(pa.list_(pa.int64()))
-        return pa.record_batch([batch.column(0), vectors.vectors_column(x), pa.array(keys.tolist(), pa.list_(pa.int64())), pa.array(probes, kind)], names=["vec_id", "x", "keys", "probes"])
-
-    placed = common.cut(common.map_batches(rows.select("vec_id", "v", "asks"), place, "vec_id long, x array<double>, keys array<bigint>, probes array<array<bigint>>"))
-    member = placed.select("vec_id", "x", F.posexplode("keys").alias("t", "cell"))
-    asked = placed.where("probes is not null").select("vec_id", "x", F.posexplode("probes").alias("t", "cells"))
-    asked = asked.select("vec_id", "x", "t", F.explode("cells").alias("cell"))
+    rows = vectors.doubles(df).where("vec_id is not null").withColumn("asks", F.coalesce(is_query, F.lit(False)))
+    counts = {r["d"]: r["count"] for r in rows.groupBy("d").count().collect()}
+    fit = vectors.sample(rows, sum(counts.values()), SAMPLE, "vec_id")
+    near = {d: expected_distance(vectors.unit(fit[d]), k) if d in fit else math.sqrt(2) for d in counts}
+    tables = spark.sparkContext.broadcast({d: Tables(d, n, near[d]) for d, n in sorted(counts.items())})
+
+    def place(batch: pa.RecordBatch) -> pa.Table:
+        out = []
+        for d, at, x in vectors.by_dimension(batch.column(1)):
+            t, x = tables.value[d], vectors.unit(x)
+            asks = batch.column(2).to_numpy(zero_copy_only=False)[at]
+            places = t.places(x)
+            keys = t.keys(np.floor(places)).T
+            probes = [[[*t.probes(places[j, i]).tolist()] for j in range(TABLES)] if asks[i] else None for i in range(len(x))]
+            kind = pa.list_(pa.list_(pa.int64()))
+            out.append(pa.record_batch(
+                [batch.column(0).take(pa.array(at)), pa.array(np.full(len(x), d)), vectors.vectors_column(x), pa.array(keys.tolist(), pa.list_(pa.int64())), pa.array(probes, kind)],
+                names=["vec_id", "d", "x", "keys", "probes"],
+            ))
+        return pa.Table.from_batches(out)
+
+    placed = common.cut(common.map_batches(rows.select("vec_id", "v", "asks"), place, "vec_id long, d long, x array<double>, keys array<bigint>, probes array<array<bigint>>"))
+    table = F.col("d") * TABLES + F.col("t")
+    member = placed.select("vec_id", "d", "x", F.posexplode("keys").alias("t", "cell")).withColumn("t", table)
+    asked = placed.where("probes is not null").select("vec_id", "d", "x", F.posexplode("probes").alias("t", "cells"))
+    asked = asked.select("vec_id", "x", table.alias("t"), F.explode("cells").alias("cell"))
     # Cells with more rows than a block are few: at most TABLES * rows / MEMBERS.
     hot = member.groupBy("t", "cell").count().where(F.col("count") > MEMBERS).select("t", "cell", F.ceil(F.col("count") / MEMBERS).alias("nb"))
     hot = common.cut(hot)
     blocks = lambda d: d.join(hot, ["t", "cell"], "left").withColumn("nb", F.coalesce("nb", F.lit(1).cast("long")))
     m = blocks(member).withColumn("mb", F.pmod(F.xxhash64("vec_id", F.lit(1)), "nb"))
     q = blocks(asked).withColumn("mb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    found = common.cut(_merged(_dealt(m, q, k), k))
+    met = found.groupBy("query_id").agg(F.count("*").alias("met"))
+    sizes = F.create_map(*[F.lit(x) for pair in (counts or {0: 0}).items() for x in pair])
+    short = placed.where("probes is not null").join(met, F.col("vec_id") == F.col("query_id"), "left")
+    short = common.cut(short.where(F.coalesce("met", F.lit(0)) < F.least(F.lit(k), F.element_at(sizes, F.col("d").cast("int")) - 1)).select("vec_id", "d", "x"))
+    lacking = short.count()
+    if lacking:
+        exact = common.cut(_merged(_scanned(placed, short, sum(counts.values()), lacking, k), k))
+        found = found.join(exact.select("query_id").distinct(), "query_id", "left_anti").unionByName(exact)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _scanned(placed: DataFrame, short: DataFrame, rows: int, lacking: int, k: int) -> DataFrame:
+    """Candidates of the queries that the tables left short, from all rows of their dimension."""
+    nm, nq = -(-rows // SCAN), -(-lacking // ASKED)
+    part = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asking = short.select("d").distinct()
+    m = placed.join(asking, "d", "left_semi").select("vec_id", "x", F.col("d").alias("t"), part(nm).alias("mb"), every(nq).alias("cell"))
+    q = short.select("vec_id", "x", F.col("d").alias("t"), part(nq).alias("cell"), every(nm).alias("mb"))
+    return _dealt(m, q, k)
+
+
+def _dealt(members: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best of each query in each block (t, cell, mb) that holds it."""
     names = lambda d, role: d.select(F.col("t").cast("long").alias("t"), "cell", "mb", F.lit(role).cast("long").alias("role"), "vec_id", "x")
-    dealt = names(m, 0).union(names(q, 1)).repartition("t", "cell", "mb").sortWithinPartitions("t", "cell", "mb", "role")
+    dealt = names(members, 0).union(names(queries, 1)).repartition("t", "cell", "mb").sortWithinPartitions("t", "cell", "mb", "role")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keeper = _Keeper(k)
         for table, starts in common.whole_groups(batches, 3):
-            role, ids, x = table.column("role").to_numpy(), table.column("vec_id").to_numpy(), vectors.matrix(table.column("x"), dim)
+            role, ids = table.column("role").to_numpy(), table.column("vec_id").to_numpy()
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 n = s + int((role[s:e] == 0).sum())
-                for at in range(n, e if n > s else n, 512):
-                    scores = x[at : min(e, at + 512)] @ x[s:n].T
-                    for i, own in enumerate(ids[at : min(e, at + 512)]):
-                        keeper.add(int(own), *_answers(x[at + i], own, ids[s:n], x[s:n], scores[i], k))
-            if keeper.size > 500_000:
-                yield keeper.flush()
-        if keeper.size:
-            yield keeper.flush()
-
-    found = common.cut(_merged(dealt.mapInArrow(each, FOUND), k))
-    met = found.groupBy("query_id").count()
-    short = placed.where("probes is not null").select(F.col("vec_id").alias("query_id"), "x").dropDuplicates(["query_id"])
-    short = common.cut(short.join(met, "query_id", "left").where(F.coalesce("count", F.lit(0)) < min(k, count - 1)))
-    answers = found
-    for part in _chunks(short, SCAN):
-        exact = _merged(_scan(placed, part, dim, k), k)
-        answers = answers.join(exact.select("query_id").distinct(), "query_id", "left_anti").unionByName(exact)
-    exactly = answers.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    return exactly
-
-
-def _chunks(queries: DataFrame, size: int) -> Iterator[list[tuple[int, list[float]]]]:
-    part: list[tuple[int, list[float]]] = []
-    for r in queries.select("query_id", "x").toLocalIterator():
-        part.append((r[0], r[1]))
-        if len(part) == size:
-            yield part
-            part = []
-    if part:
-        yield part
-
-
-def _scan(rows: DataFrame, queries: list[tuple[int, list[float]]], dim: int, k: int) -> DataFrame:
-    """Exact answers of a block of queries: every row is read, the k best of each task go on."""
-    shared = rows.sparkSession.sparkContext.broadcast((np.array([q for q, _ in queries]), np.array([x for _, x in queries])))
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, q = shared.value
-        keeper = _Keeper(k)
-        for batch in batches:
-            ids, x = batch.column(0).to_numpy(), vectors.matrix(batch.column(1), dim)
-            for at in range(0, len(x), 2048):
-                scores = q @ x[at : at + 2048].T
-                for i, own in enumerate(asked):
-                    keeper.add(int(own), *_answers(q[i], own, ids[at : at + 2048], x[at : at + 2048], scores[i], k))
+                if n in (s, e):
+                    continue
+                own = table.column("x").slice(s, e - s)
+                x = vectors.matrix(own, len(own[0]))
+                x, q = x[: n - s], x[n - s :]
+                for at in range(0, len(q), 512):
+                    scores = q[at : at + 512] @ x.T
+                    for i, me in enumerate(ids[n + at : min(e, n + at + 512)]):
+                        keeper.add(int(me), *_answers(q[at + i], me, ids[s:n], x, scores[i], k))
             if keeper.size > 500_000:
                 yield keeper.flush()
         if keeper.size:
             yield keeper.flush()
 
-    return rows.select("vec_id", "x").mapInArrow(each, FOUND)
+    return dealt.mapInArrow(each, FOUND)

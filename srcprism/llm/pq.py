@@ -11,10 +11,14 @@ Each pair of lists is visited from the lower list. Lists are dealt into blocks,
 is spread over many tasks; a task returns counts and a spanning forest of its links, never all
 pairs. Copies are collapsed first: they are one vector with a weight.
 
-Edge cases: vectors that are null, zero, or hold null or non-finite components, and vectors of
-another dimension than most, link with nothing; a row is one vector, also if rows repeat;
-equal vectors are linked; a null vec_id never names a component that has another; an empty
-table gives an empty result; other columns are not read.
+Each dimension that occurs has lists and codes of its own; vectors of different dimensions have
+no cosine and do not link. A dimension that the sample misses has one list and codes that prune
+nothing.
+
+Edge cases: vectors that are null, zero, or hold null or non-finite components link with
+nothing; a row is one vector, also if rows repeat; equal vectors are linked; a null vec_id never
+names a component that has another; an empty table gives an empty result; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from . import common, vectors
 SAMPLE, LISTS, LIST_SIZE = 16_384, 2_048, 2_048
 #: Subspaces and codes of a subspace.
 PARTS, CODES = 8, 256
+#: Lists are numbered within a dimension; the dimension stands above these bits.
+LIST_BITS = 20
 #: Members and queries of a block.
 MEMBERS, QUERIES = 1024, 8192
 
@@ -63,6 +69,7 @@ class Quantiser:
     """Coarse centres and residual codebooks, fitted on a bounded sample."""
 
     def __init__(self, x: np.ndarray, lists: int):
+        x = x if len(x) else np.zeros((1, x.shape[1]))
         self.centres = kmeans(x, max(1, min(lists, len(x))))
         rest = x - self.centres[nearest(x, self.centres)]
         cuts = np.linspace(0, x.shape[1], min(PARTS, x.shape[1]) + 1).astype(int)
@@ -127,29 +134,41 @@ def block_links(quantiser: Quantiser, which: int, q: np.ndarray, x: np.ndarray,
     return near
 
 
+def _hashed(vector: str = "v") -> list:
+    """Two hashes of a vector, 96 bits together, by which copies are found."""
+    return [F.xxhash64(vector).alias("k1"), F.hash(vector).cast("long").alias("k2")]
+
+
 def near_duplicates(df: DataFrame, least: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding)."""
     spark = df.sparkSession
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    sound, dim = vectors.doubles(df)
-    reps = sound.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("mult"))
+    rows = rows.select("vec_id", *[F.when(vectors.valid("v"), h).alias(f"k{i}") for i, h in enumerate(_hashed(), 1)])
+    sound = vectors.doubles(df).select("vec_id", "v", "d", *_hashed())
+    reps = sound.groupBy("k1", "k2").agg(F.min("vec_id").alias("first"), F.count("*").alias("mult"), F.any_value("v").alias("v"), F.any_value("d").alias("d"))
     reps = common.cut(reps.withColumn("rid", F.monotonically_increasing_id()))
-    count = reps.count()
-    if not count:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    fit = vectors.unit(vectors.sample(reps, count, SAMPLE, "rid"))
-    quantiser = spark.sparkContext.broadcast(Quantiser(fit, min(LISTS, max(1, count // LIST_SIZE))))
+    counts = {r["d"]: r["count"] for r in reps.groupBy("d").count().collect()}
+    fit = vectors.sample(reps, sum(counts.values()), SAMPLE, "rid")
+    fitted = {
+        d: Quantiser(vectors.unit(fit[d]) if d in fit else np.zeros((0, d)), min(LISTS, max(1, n // LIST_SIZE))) for d, n in sorted(counts.items())
+    }
+    quantisers = spark.sparkContext.broadcast(fitted)
     radius = float(np.sqrt(2 - 2 * least))
 
-    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = vectors.unit(vectors.matrix(batch.column(2), dim))
-        home, codes, error = quantiser.value.code(x)
-        lists = quantiser.value.probes(x, home, radius)
-        return pa.record_batch(
-            [batch.column(0), batch.column(1), vectors.vectors_column(x), pa.array(home.astype(np.int64)),
-             pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([p.tolist() for p in lists], pa.list_(pa.int64()))],
-            names=["rid", "mult", "x", "home", "codes", "error", "probes"],
-        )
+    def place(batch: pa.RecordBatch) -> pa.Table:
+        out = []
+        for d, at, x in vectors.by_dimension(batch.column(2)):
+            x, quantiser = vectors.unit(x), quantisers.value[d]
+            home, codes, error = quantiser.code(x)
+            lists = quantiser.probes(x, home, radius)
+            own = [batch.column(i).take(pa.array(at)) for i in (0, 1)]
+            first = d << LIST_BITS
+            out.append(pa.record_batch(
+                [*own, vectors.vectors_column(x), pa.array(home.astype(np.int64) + first),
+                 pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([(p + first).tolist() for p in lists], pa.list_(pa.int64()))],
+                names=["rid", "mult", "x", "home", "codes", "error", "probes"],
+            ))
+        return pa.Table.from_batches(out)
 
     schema = "rid long, mult long, x array<double>, home long, codes binary, error double, probes array<bigint>"
     placed = common.cut(common.map_batches(reps.select("rid", "mult", "v"), place, schema))
@@ -170,18 +189,19 @@ def near_duplicates(df: DataFrame, least: float = 0.9) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in common.whole_groups(batches, 3):
             for s, e in zip(starts[:-1], starts[1:], strict=True):
-                yield from _group(table.slice(s, e - s), quantiser.value, dim, least)
+                yield from _group(table.slice(s, e - s), quantisers.value, least)
 
     found = common.cut(dealt.mapInArrow(each, "edge boolean, a long, b long"))
-    counts = found.where("not edge").groupBy(F.col("a").alias("rid")).agg(F.sum("b").alias("n"))
+    links = found.where("not edge").groupBy(F.col("a").alias("rid")).agg(F.sum("b").alias("n"))
     roots = common.components(found.where("edge").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    linked = reps.join(counts, "rid", "left").join(roots.withColumnRenamed("node", "rid"), "rid", "left")
+    linked = reps.select("rid", "k1", "k2", "first", "mult").join(links, "rid", "left").join(roots.withColumnRenamed("node", "rid"), "rid", "left")
     linked = common.cut(
-        linked.select("v", "first", F.coalesce("root", "rid").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+        linked.select("k1", "k2", "mult", "first", F.coalesce("root", "rid").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
     )
     least_id = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    table = linked.join(least_id, "root").select("v", "n_links", "component_id")
-    return rows.join(table, "v", "left").select(
+    table = linked.join(least_id, "root").select("k1", "k2", "n_links", "component_id")
+    found = common.looked_up(rows, table, ["k1", "k2"], linked.select("k1", "k2", F.col("mult").alias("n")), "vec_id")
+    return found.select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
@@ -189,8 +209,10 @@ def near_duplicates(df: DataFrame, least: float = 0.9) -> DataFrame:
     )
 
 
-def _group(table: pa.Table, quantiser: Quantiser, dim: int, least: float) -> Iterator[pa.RecordBatch]:
-    which = table.column("list")[0].as_py()
+def _group(table: pa.Table, quantisers: dict[int, Quantiser], least: float) -> Iterator[pa.RecordBatch]:
+    listed = table.column("list")[0].as_py()
+    dim, which = listed >> LIST_BITS, listed & (1 << LIST_BITS) - 1
+    quantiser = quantisers[dim]
     role = table.column("role").to_numpy()
     rid, mult, home = (table.column(c).to_numpy() for c in ("rid", "mult", "home"))
     n = int((role == 0).sum())
@@ -211,7 +233,7 @@ def _group(table: pa.Table, quantiser: Quantiser, dim: int, least: float) -> Ite
             continue
         counts[at:to] += link @ mult[:n]
         # Pairs of two lists are seen once: they count for the member too.
-        other = (home[at:to] != which).astype(np.int64) * mult[at:to]
+        other = (home[at:to] != listed).astype(np.int64) * mult[at:to]
         counts[:n] += other @ link
         ra, rb = common.bipartite_roots(link, False)
         every, root = np.concatenate([rid[at:to], rid[:n]]), np.concatenate([ra, rb])

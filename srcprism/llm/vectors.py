@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,22 +18,32 @@ def valid(vector: str = "embedding") -> Column:
     return F.coalesce(sound, F.lit(False))
 
 
-def doubles(df: DataFrame) -> tuple[DataFrame, int]:
-    """(vec_id, v: array of double) of the valid rows of the most frequent dimension, and it."""
+def doubles(df: DataFrame) -> DataFrame:
+    """(vec_id, v: array of double, d: its dimension) of the valid rows."""
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    rows = rows.where(valid("v"))
-    top = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = top["d"] if top else 0
-    return rows.where(F.size("v") == dim), dim
+    return rows.where(valid("v")).withColumn("d", F.size("v").cast("long"))
+
 
+def sample(rows: DataFrame, count: int, most: int, ident: str) -> dict[int, np.ndarray]:
+    """About ``most`` vectors at most, chosen by a hash of their id, by dimension.
 
-def sample(rows: DataFrame, count: int, most: int, ident: str) -> np.ndarray:
-    """About ``most`` vectors at most, chosen by a hash of their id."""
+    A dimension that few vectors have may be missing.
+    """
     share = min(1.0, most / max(1, count))
     parts = 1 << 30
     kept = rows.where(F.pmod(F.xxhash64(ident, F.lit(3)), F.lit(parts)) < int(share * parts)) if share < 1 else rows
-    found = [r[0] for r in kept.select("v", ident).orderBy(ident).select("v").collect()]
-    return np.array(found, dtype=np.float64).reshape(len(found), -1)
+    found: dict[int, list] = {}
+    for d, v in kept.select("d", "v", ident).orderBy(ident).select("d", "v").collect():
+        found.setdefault(d, []).append(v)
+    return {d: np.array(x, dtype=np.float64) for d, x in found.items()}
+
+
+def by_dimension(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, places, matrix) of the vectors of a column."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        yield int(d), at, matrix(column if len(at) == len(sizes) else column.take(pa.array(at)), int(d))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:

@@ -105,3 +105,31 @@ def test_probes_come_by_success_until_the_share_is_held():
     keys = t.probes(place)
     own = t.keys(np.floor(place))
     assert own in keys and len(set(keys.tolist())) == len(keys) > 1
+
+
+def test_every_dimension_is_compared(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(c) for c in rng.standard_normal(3)]) for i in range(1, 8)]
+    rows += [(50, [1.0, 0.0]), (100, [1.0, 0.01]), (101, [0.0, 5.0]), (150, [2.0]), (9, [1.0]), (10, [-3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pq.near_duplicates(df).collect()}
+    assert got[50] == (1, 50) and got[100] == (1, 50) and got[101] == (0, 101)
+    assert got[150] == (1, 9) and got[9] == (1, 9) and got[10] == (0, 10)
+    found = defaultdict(list)
+    for r in lsh.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    assert dict(found) == {50: [100, 101], 100: [50, 101], 150: [9, 10]}
+
+
+def test_short_queries_are_answered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lsh, "SCAN", 16)
+    monkeypatch.setattr(lsh, "ASKED", 3)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((90, 6)) * np.where(np.arange(90) % 2, 1, -1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    placed = lsh._scanned(df.select("vec_id", lsh.F.col("embedding").alias("x"), lsh.F.lit(6).cast("long").alias("d")), df.where("vec_id % 9 = 0").select("vec_id", F.col("embedding").alias("x"), F.lit(6).cast("long").alias("d")), 90, 10, 5)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in lsh._merged(placed, 5).collect()}
+    for i in range(0, 90, 9):
+        s = (x * x[i]).sum(axis=1)
+        want = [j for j in np.argsort(-s, kind="stable") if j != i][:5]
+        assert [got[i, k] for k in range(1, 6)] == want
