@@ -6,7 +6,8 @@ a phrase of its own). The language with the fewest phrases per character wins.
 
 The automata are fitted on a bounded sample: up to ``CHARS`` characters in all, shared evenly
 by the languages, ``PIECE`` characters from the middle of each sampled text, texts taken in
-the order of a hash. Everything else covers whole texts: they are parsed in blocks of
+the order of a hash. Every labelled language and every character of the sample takes part.
+Everything else covers whole texts: they are parsed in blocks of
 ``STEP`` characters, all blocks of a batch and all languages at once.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; with no learnt
@@ -28,12 +29,10 @@ from . import common
 CHARS = 400_000
 CHARS_PER_LANG = 25_000
 PIECE = 400
-#: Languages learnt, the most frequent first.
-LANGS = 200
 #: Characters of a block that is parsed from a fresh phrase.
 STEP = 512
-#: Classes of characters at most: those beyond the most frequent share one.
-ALPHABET = 250
+#: Children from which a state's transitions get a range of their own; slots tried at a time.
+WIDE, TRIED = 32, 256
 #: Characters of a text that are held as integers at a time; a multiple of STEP.
 SLICE = 1 << 20
 
@@ -46,10 +45,10 @@ def sample(labelled: DataFrame) -> dict[str, str]:
     """
     rows = labelled.where("text is not null and lang is not null and length(text) > 0")
     order = F.xxhash64("text", F.lit(11))
-    counts = rows.select("lang", order).distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    counts = rows.select("lang", order).distinct().groupBy("lang").count().collect()
     if not counts:
         return {}
-    each = min(CHARS_PER_LANG, CHARS // len(counts))
+    each = max(1, min(CHARS_PER_LANG, CHARS // len(counts)))
     want = max(1, each // (PIECE // 4))
     parts = 1 << 30
     share = {r["lang"]: min(parts, 2 * want * parts // r["count"] + 1) for r in counts}
@@ -95,49 +94,80 @@ class _Automaton:
         self.nexts = nexts
 
 
+class _Transitions:
+    """The transitions of all automata in a double array.
+
+    State s goes by character c to ``target[base[s] + c]`` if ``check[base[s] + c]`` is s: as many
+    slots as transitions, about, however many characters there are.
+    """
+
+    def __init__(self, nexts: list[dict[int, int]], chars: int):
+        self.base = np.zeros(len(nexts), dtype=np.int32)
+        self._used = np.zeros(1 << 16, dtype=bool)
+        first = end = low = chars + 1
+        placed: list[tuple[int, np.ndarray]] = []
+        for s in sorted((s for s, x in enumerate(nexts) if len(x) > 1), key=lambda s: -len(nexts[s])):
+            cs = np.fromiter(nexts[s], np.int64)
+            self._room(end + 2 * chars + TRIED)
+            at = end - int(cs.min())
+            if len(cs) <= WIDE:
+                free = low + np.flatnonzero(~self._used[low : low + TRIED])
+                bases = free - cs[0]
+                fits = np.flatnonzero(~self._used[bases[:, None] + cs[None, :]].any(axis=1))
+                if len(fits):
+                    at = int(bases[fits[0]])
+                if len(free) < TRIED // 4 or not len(fits):
+                    low = min(low + TRIED, end)
+            self._used[at + cs] = True
+            end = max(end, at + int(cs.max()) + 1)
+            self.base[s] = at
+            placed.append((s, cs))
+        single = np.array([s for s, x in enumerate(nexts) if len(x) == 1], dtype=np.int64)
+        self._room(end + len(single))
+        slots = first + np.flatnonzero(~self._used[first : end + len(single)])[: len(single)]
+        only = np.array([next(iter(nexts[s])) for s in single], dtype=np.int64)
+        self.base[single] = slots - only
+        size = int(max(end, slots.max(initial=0) + 1)) + chars + 1
+        self.check = np.full(size, -1, dtype=np.int32)
+        self.target = np.zeros(size, dtype=np.int32)
+        self.check[slots] = single
+        self.target[slots] = [next(iter(nexts[s].values())) for s in single]
+        for s, cs in placed:
+            self.check[self.base[s] + cs] = s
+            self.target[self.base[s] + cs] = list(nexts[s].values())
+        del self._used
+
+    def _room(self, size: int) -> None:
+        if size > len(self._used):
+            self._used = np.concatenate([self._used, np.zeros(max(size, len(self._used)), dtype=bool)])
+
+
 class Parser:
     """Counts cross-parsing phrases of texts against the automaton of each language.
 
-    One table holds all automata. An entry packs the next row and the phrases that the step
-    ends: none on a match; one if a phrase ends and its successor starts with this character;
-    two (one at a root) if the character is itself a phrase.
+    A character that a state does not lead on by ends a phrase; the next one starts with it, or,
+    where the language lacks it, after it.
     """
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
-        joined = "".join(texts.values()).lower()
-        chars, counts = np.unique(np.array(list(joined) or [""]), return_counts=True)
-        common_chars = chars[np.lexsort((chars, -counts))][:ALPHABET]
-        self.width = len(common_chars) + 2  # class 0: any other character; the last: padding
-        self.pad = self.width - 1
-        classes = np.zeros(0x110000, dtype=np.uint8)
-        for i, c in enumerate(common_chars):
-            if c:
-                classes[ord(c)] = i + 1
-        for code in range(0x3000):  # the cases of alphabets that have two
+        chars = sorted(set("".join(texts.values()).lower()))
+        # Class 0 is any other character, which leads nowhere.
+        classes = np.zeros(0x110000, dtype=np.int32)
+        classes[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        for code in range(0x110000):
             low = chr(code).lower()
-            if len(low) == 1 and classes[ord(low)]:
+            if len(low) == 1 and ord(low) != code:
                 classes[code] = classes[ord(low)]
         self.classes = classes
-        tables, self.roots, base = [], [], 0
+        nexts, roots = [], []
         for lang in self.langs:
-            auto = _Automaton(classes[self._codes(texts[lang])].tolist())
-            n = len(auto.nexts)
-            step = np.full((n, self.width), -1, dtype=np.int32)
-            for s, nexts in enumerate(auto.nexts):
-                if nexts:
-                    step[s, list(nexts)] = list(nexts.values())
-            step[:, 0] = -1  # a character outside the alphabet matches nothing
-            root = step[0].copy()
-            table = np.where(step >= 0, (base + step) * self.width << 2, 0)
-            fresh = np.where(root >= 0, ((base + root) * self.width << 2) + 1, (base * self.width << 2) + 2)
-            table = np.where(step >= 0, table, fresh[None, :])
-            table[0] = np.where(root >= 0, table[0], (base * self.width << 2) + 1)
-            table[:, self.pad] = (base + np.arange(n)) * self.width << 2
-            tables.append(table.astype(np.int32, copy=False))
-            self.roots.append(base * self.width)
-            base += n
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            base = len(nexts)
+            roots.append(base)
+            seq = classes[self._codes(texts[lang])].tolist()
+            nexts += [{c: base + t for c, t in x.items() if c} for x in _Automaton(seq).nexts]
+        self.roots = np.array(roots, dtype=np.int32)
+        self.table = _Transitions(nexts, len(chars) + 1)
 
     @staticmethod
     def _codes(text: str) -> np.ndarray:
@@ -145,39 +175,46 @@ class Parser:
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text (rows) under each language (columns)."""
-        out = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
+        k = len(self.langs)
+        out = np.zeros((len(texts), k), dtype=np.int64)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         blocks = -(-sizes // STEP)
         owner = np.repeat(np.arange(len(texts)), blocks)
-        at, span = 0, 4096
-        flat = self.classes[self._codes("".join(texts))]
+        span = max(16, (1 << 15) // k)
+        flat = np.concatenate([self.classes[self._codes("".join(texts))], np.zeros(STEP, np.int32)])
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         first = np.concatenate([[0], np.cumsum(blocks)])[:-1]
         begin = starts[owner] + STEP * (np.arange(len(owner)) - first[owner])
-        end = np.minimum(begin + STEP, (starts + sizes)[owner])
-        padded = np.concatenate([flat, np.full(STEP, self.pad, np.uint8)])
-        lane = np.arange(STEP)
-        while at < len(owner):
-            b, e, who = begin[at : at + span], end[at : at + span], owner[at : at + span]
-            where = b[:, None] + lane[None, :]
-            chars = padded[where]
-            chars[where >= e[:, None]] = self.pad
-            chars = np.ascontiguousarray(chars.T).astype(np.int32)
-            n, k = len(b), len(self.langs)
-            roots = np.repeat(np.array(self.roots, dtype=np.int32), n)
-            state, count, got = roots.copy(), np.zeros(n * k, np.int32), np.empty(n * k, np.int32)
-            index = np.empty(n * k, np.int32)
-            for j in range(STEP):
-                np.add(state.reshape(k, n), chars[j][None, :], out=index.reshape(k, n))
-                np.take(self.table, index, out=got, mode="clip")
-                np.right_shift(got, 2, out=state)
-                np.bitwise_and(got, 3, out=got)
-                np.add(count, got, out=count)
-            count += state != roots
-            np.add.at(out, who, count.reshape(k, n).T)
-            at += span
+        long = np.minimum(begin + STEP, (starts + sizes)[owner]) - begin
+        # Long blocks lead, so that those still going are a prefix.
+        order = np.argsort(-long, kind="stable")
+        for at in range(0, len(order), span):
+            some = order[at : at + span]
+            chars = np.ascontiguousarray(flat[begin[some][:, None] + np.arange(STEP)[None, :]].T)
+            going = np.searchsorted(-long[some], -np.arange(STEP), side="left")
+            np.add.at(out, owner[some], self._parse(chars, going))
         return out
 
+    def _parse(self, chars: np.ndarray, going: np.ndarray) -> np.ndarray:
+        """Phrases of blocks of characters: chars by (step, block); at step j ``going[j]`` blocks go on."""
+        base, check, target, k = self.table.base, self.table.check, self.table.target, len(self.langs)
+        roots = np.tile(self.roots, chars.shape[1])
+        state, count = roots.copy(), np.zeros(len(roots), dtype=np.int32)
+        for j, n in enumerate(going.tolist()):
+            if not n:
+                break
+            old = state[: n * k]
+            index = base.take(old)
+            index.reshape(n, k)[:] += chars[j, :n, None]
+            miss = np.flatnonzero(check.take(index) != old)
+            left, root = old[miss], roots[miss]
+            target.take(index, out=old, mode="clip")  # indices are within bounds
+            again = base[root] + chars[j, miss // k]
+            starts = check[again] == root
+            old[miss] = np.where(starts, target[again], root)
+            count[miss] += 1 + (~starts & (left != root))
+        return (count + (state != roots)).reshape(-1, k)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and phrases per character of the winner, for each text."""
         lang = ["und"] * len(texts)
@@ -258,6 +295,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language cannot be told (``und``) go."""
-    found = predict(docs, learn(docs), tuple(docs.columns), ("__lang", "__score", "__rate"))
+    """Pipeline stage: documents whose language cannot be told (``und``) go.
+
+    Those are null and empty texts and texts without a letter. Where no language could be learnt,
+    texts with a letter stay all the same. Rows that repeat are judged alike.
+    """
+    texts = learn(docs)
+    if not texts:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = predict(docs, texts, tuple(docs.columns), ("__lang", "__score", "__rate"))
     return found.where("__lang <> 'und'").select(*docs.columns)
