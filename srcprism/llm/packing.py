@@ -3,12 +3,14 @@
 A sequence has three limits at once: tokens, segments and loss-bearing tokens. Bins are filled
 one at a time: of the items that fit, the one whose demand has the largest weighted dot
 product with what the bin has left goes in. Where items may be cut, a bin that no whole item
-fits takes a piece of the longest one, and a bin that stays short is split into sequences
-whose lengths are powers of two, which need no padding.
+fits takes a piece of the longest one.
 
-Items are packed in groups of bounded size within each partition, so nothing is shuffled, a
-task holds one group, and the loss against packing everything at once is at most one short
-bin a group.
+Items are packed in groups of bounded size within each partition, so nothing is shuffled and a
+task holds one group. A bin that a group leaves short goes into the next group, so a partition
+has one short bin at most; the last is split into sequences whose lengths are powers of two,
+which need no padding.
+
+Strings of added tokens in a text become those tokens, as the tokenizer's library has it.
 
 Edge cases: null and empty texts are one token, the closing id; repeated rows are packed once
 each; a null doc_id is carried along; ties go to the item read first; an empty table gives an
@@ -20,7 +22,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,8 +39,8 @@ from .bpe import byte_letters
 
 #: Items of a group, and the tokens that a group may hold.
 GROUP, GROUP_TOKENS = 4096, 8_000_000
-#: Encoded words kept by a Python worker; a full cache is emptied.
-CACHE = 150_000
+#: Characters of a text that is looked through for long gaps, and such a gap.
+LONG, _GAP = 4_096, re.compile(r"\s{2048}")
 #: Where a byte-level pre-tokenizer cuts.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Id that closes each document.
@@ -100,10 +101,7 @@ def pack(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool = False
             if bears:
                 loss[i] -= take
                 ls[k] -= take
-        if cut and sum(x[2] for x in content) < limits.tokens:
-            bins.extend(_powers(content))
-        else:
-            bins.append(content)
+        bins.append(content)
     return bins
 
 
@@ -126,22 +124,19 @@ def _powers(content: list[tuple[int, int, int]]) -> list[list[tuple[int, int, in
 
 
 class Words:
-    """Ids of texts by a ``tokenizers`` file, word by word through a cache.
+    """Ids of texts as a ``tokenizers`` file gives them.
 
-    A byte-level pre-tokenizer never joins white space to a character before it, so a text can
-    be cut before a space that follows another kind of character. Where the file's merges are
-    numbered in their order, as checked here, merging by rank gives the same ids and is several
-    times faster for words that are new; else the file's own model encodes them.
+    Where the file's merges are numbered in their order, as checked here, merging by rank gives
+    the same ids and is several times faster; else the file's own model encodes. Texts that hold
+    the string of an added token, and long ones with a run of white space that the faster
+    pattern could not match, are always left to the file's own model.
     """
 
     def __init__(self, path: str):
-        self.cache: dict[str, bytes] = {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.model = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values() if t.content]
         self.ranked = self._ranked(path)
-        self.model = None
-        if not self.ranked:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            self.model = Tokenizer.from_file(path)
-            self.model.encode_special_tokens = True  # their strings in a text are ordinary text
 
     @staticmethod
     def _ranked(path: str):
@@ -155,34 +150,25 @@ class Words:
         in_order = all(vocab.get(a + b) == first + i for i, (a, b) in enumerate(merges))
         if not (plain and in_order and file["normalizer"] is None and not file["model"]["ignore_merges"]):
             return None
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in file["added_tokens"]):
+            return None
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items() if t not in own}
         return tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
-    def _new(self, chunks: list[str]) -> list[list[int]]:
-        if self.ranked:
-            return [self.ranked.encode_ordinary(c) for c in chunks]
-        return [e.ids for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
-        if text[0] == " " or re.search(r"\s ", text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+    def _plain(self, text: str) -> bool:
+        return self.ranked is not None and not any(t in text for t in self.added) and (len(text) < LONG or not _GAP.search(text))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cache, out = self.cache, []
-        for at in range(0, len(texts), 64):
-            if len(cache) > CACHE:
-                cache.clear()
-            chunks = [self._chunks(t) if t else [] for t in texts[at : at + 64]]
-            new = [c for c in set().union(*chunks) if c not in cache]
-            cache.update((c, struct.pack(f"<{len(i)}I", *i)) for c, i in zip(new, self._new(new), strict=True))
-            out += [np.frombuffer(b"".join(map(cache.__getitem__, x)), "<u4") for x in chunks]
-            for c in new:
-                if len(c) > 64:
-                    del cache[c]
+        out = []
+        for t in texts:
+            if not t:
+                ids: list[int] = []
+            elif self._plain(t):
+                ids = self.ranked.encode_ordinary(t)
+            else:
+                ids = self.model.encode(t, add_special_tokens=False).ids
+            out.append(np.array(ids, dtype="<u4"))
         return out
 
 
@@ -208,19 +194,26 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits()) -> Dat
         def emit(rows: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=NAMES)
 
-        def flush() -> pa.RecordBatch:
-            nonlocal made
+        def flush(last: bool) -> list[tuple]:
+            """Rows of the bins of what is held; but for the last group, a short bin stays held."""
+            nonlocal made, held, size
             n = np.array([len(x[1]) for x in held])
-            rows = []
+            rows, stay = [], []
             for content in pack(n, n, limits, cut=True):
-                offset = 0
-                for item, start, length in content:
-                    doc, ids, first, total = held[item]
-                    crc = zlib.crc32(ids[start : start + length].tobytes())
-                    rows.append((doc, first + start, length, crc, total, base + made, offset))
-                    offset += length
-                made += 1
-            return emit(rows)
+                short = sum(x[2] for x in content) < whole
+                if short and not last and len(content) < limits.segments:
+                    stay += [(held[i][0], held[i][1][a : a + k].copy(), held[i][2] + a, held[i][3]) for i, a, k in content]
+                    continue
+                for part in _powers(content) if short else [content]:
+                    offset = 0
+                    for item, start, length in part:
+                        doc, ids, first, total = held[item]
+                        crc = zlib.crc32(ids[start : start + length].tobytes())
+                        rows.append((doc, first + start, length, crc, total, base + made, offset))
+                        offset += length
+                    made += 1
+            held, size = stay, sum(len(x[1]) for x in stay)
+            return rows
 
         whole = min(limits.tokens, limits.loss)
         for batch in batches:
@@ -239,15 +232,13 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits()) -> Dat
                         held.append((doc, ids[first:].copy(), first, total))
                         size += total - first
                     if len(held) >= GROUP or size >= GROUP_TOKENS:
-                        rows and (yield emit(rows))
-                        yield flush()
-                        held, size, rows = [], 0, []
+                        rows += flush(False)
                 if rows:
                     yield emit(rows)
             del batch, docs_in, texts
             common.give_back()
         if held:
-            yield flush()
+            yield emit(flush(True))
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in NAMES))
@@ -285,5 +276,9 @@ def pack_examples(examples: DataFrame, limits: Limits) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of all documents, placed into sequences."""
+    """Pipeline stage: the pieces of all documents, placed into sequences.
+
+    Null and empty texts are one token; rows that repeat are packed once each; other columns are
+    not read.
+    """
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))

@@ -250,7 +250,11 @@ def redact(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays, with its secrets redacted and n_chars corrected."""
+    """Pipeline stage: every document stays, with its secrets redacted and n_chars corrected.
+
+    Null texts and null counts of texts that do not change stay as they are; rows that repeat are
+    redacted alike.
+    """
     names = docs.columns
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
