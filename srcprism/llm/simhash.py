@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE, dep
     Copies share a fingerprint, so only distinct fingerprints are compared.
     """
     prints = common.cut(fingerprints(docs, n))
-    reps = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    reps = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     if depth is None:
         depth = 1 if reps.count() < DEEP_FROM else 2
     roots = common.components(links(reps.select("fp"), radius, depth))
@@ -173,22 +173,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE, dep
     least = grouped.groupBy("root").agg(F.min("first").alias("least"))
     moved = common.cut(grouped.join(least, "root").select("fp", "least"))
     table = reps.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(table, "fp", "left").select("doc_id", "fp", "component_id")
+    return common.looked_up(prints, table, ["fp"], reps.select("fp", "n"), "doc_id").select("doc_id", "fp", "component_id")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id stays.
+    """Pipeline stage: one row of each component of near copies stays, the others go.
 
-    Rows without a doc_id stay, as no other row can stand for them by name. Where rows repeat,
-    one of them stays. Only the ids that go are looked up, so texts move only if those ids are
-    too many to broadcast.
+    It is the row with the smallest doc_id; of rows that share it, the one read first; rows
+    without a doc_id come last. Rows go, not ids: a row with another text stays, whatever its
+    doc_id. Null and empty texts are copies of each other; an empty table stays empty; columns
+    are returned as they came. Only the row ids that go are looked up, so texts move only if
+    those are too many to broadcast.
 
     Near duplicates share 0.8 of their 5-word shingles. Fingerprints of such texts differ in about
     nine bits and often in more, which the segments of a 64-bit ring cannot tell from chance, so
     the stage verifies shingles and does not use the radius of the query.
     """
-    found = common.cut(shingles.near_copies(docs))
-    gone = common.cut(found.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    rid = "rid"
+    while rid in map(str.lower, docs.columns):
+        rid = f"_{rid}"
+    rows = common.cut(docs.withColumn(rid, F.monotonically_increasing_id()))
+    found, table = shingles.classes(rows.select(F.col(rid).alias("rid"), F.col("doc_id"), F.col("text")))
+    # A class's first row is its own if no similar class has a smaller one.
+    gone = common.cut(found.select("rid").join(table.select("first.rid").distinct(), "rid", "left_anti"))
+    return rows.join(gone.withColumnRenamed("rid", rid), rid, "left_anti").select(*docs.columns)
