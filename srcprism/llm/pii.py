@@ -3,14 +3,14 @@
 Base spans are found by patterns: e-mail addresses, IPv4 addresses, card numbers that pass the
 Luhn check, and phone numbers. They are the protected entities, and so is each of the four kinds.
 Information-theoretic sanitisation then looks at the other words of their texts, over the whole
-corpus and counting different texts only: a word is measured by its pointwise mutual information
-with the entity, log2(N n(t,e) / (n(t) n(e))), and by the share n(t,e) / n(t) of its texts that
-hold the entity. A word discloses the entity if that share is at least ``SHARE`` and its
-information over its n(t,e) >= ``LEAST`` texts totals as many bits as ``SUPPORT`` texts of ``BITS``
-bits: a rare entity needs fewer texts, a frequent one more, and none is too frequent. A word
-that only one text shares with a value tells no more than chance would; it is judged by the kind.
+corpus and counting different texts only. What an entity e is worth is its information content,
+-log2 p(e); what a word t tells of it is their pointwise mutual information,
+log2 p(t,e) / (p(t) p(e)). A word discloses the entity if it tells at least ``TOLD`` of its
+content, and if chance is ruled out: beyond the first, the texts that hold both must bring
+``EVIDENCE`` bits together. So a rare entity needs fewer texts, a frequent one more, and none is
+too frequent. A word that only one text shares with a value is judged by the kind.
 All spans of disclosing words join those of the documents that hold the entity.
-``sanitise`` removes what discloses it almost surely and generalises the rest.
+``sanitised`` removes what tells almost all and generalises the rest.
 
 The patterns are written so that each match takes time in proportion to its length: a match
 starts at the start of a run or where the last one ended, and repetitions that nothing can
@@ -43,8 +43,9 @@ KINDS = [*PATTERNS, "term"]
 
 #: Words considered: whole runs of so many letters.
 WORD = r"\p{L}{4,}+"
-#: Thresholds of disclosure: bits in so many texts, share; and the share that is removed.
-SUPPORT, BITS, SHARE, SURE = 5, 4.0, 0.8, 0.95
+#: Thresholds of disclosure: the part of an entity's content that a word tells, the bits of
+#: evidence for it, and the part from which a word is removed.
+TOLD, EVIDENCE, SURE = 0.5, 16.0, 0.95
 #: Different texts that a term shares with an entity at least.
 LEAST = 2
 
@@ -165,17 +166,17 @@ def _marks(found: Column, by: Callable[[Column], Column]) -> Column:
     return F.transform(found, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), by(f).alias("by")))
 
 
-def _corpus(docs: DataFrame, carry_text: bool) -> DataFrame:
+def _corpus(docs: DataFrame) -> DataFrame:
     """Per row: a row id, a hash of the text, its base spans, and the words outside of them.
 
-    Texts are kept where terms have to be located in them.
+    Texts are kept where they hold a span.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("found", base_spans(F.col("text")))
     outside = F.when(F.size("found") > 0, _replaced(F.col("text"), _marks(F.col("found"), lambda _: F.lit(" ")))).otherwise(F.col("text"))
     words = F.array_distinct(F.transform(F.regexp_extract_all(outside, F.lit(WORD), F.lit(0)), F.lower))
-    kept = F.col("text") if carry_text else F.when(F.size("found") > 0, F.col("text"))
+    kept = F.when(F.size("found") > 0, F.col("text"))
     return common.cut(
         rows.withColumn("same", F.xxhash64("text"))
         .withColumn("rid", F.monotonically_increasing_id())
@@ -191,7 +192,7 @@ def _texts(corpus: DataFrame) -> DataFrame:
 
 
 def disclosing(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entity, term, share): words that disclose an entity; (entity, n_e): the entities considered.
+    """(entity, term, told): words that disclose an entity; (entity, n_e): the entities considered.
 
     An entity is a value or a whole kind. A value that one text holds has nothing to be measured
     by but its kind, so values of at least two texts are paired with words.
@@ -204,12 +205,13 @@ def disclosing(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     joint = common.cut(joint)
     # Counted before the join: what is shuffled and joined is distinct words, not their uses.
     counts = texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = texts.count()
+    total = F.lit(float(texts.count()))
     measured = joint.join(counts, "term").join(known, "entity")
-    bits = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    share = F.col("n_te") / F.col("n_t")
-    enough = (bits * F.col("n_te") >= SUPPORT * BITS) & (share >= SHARE)
-    return measured.where(enough).select("entity", "term", share.alias("share")), known
+    bits = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
+    told = bits / F.log2(total / F.col("n_e"))
+    # An entity that all texts hold has no content to tell.
+    enough = (F.col("n_e") < total) & ((F.col("n_te") - 1) * bits >= EVIDENCE) & (told >= TOLD)
+    return measured.where(enough).select("entity", "term", told.alias("told")), known
 
 
 def _pairs(held: DataFrame, known: DataFrame) -> DataFrame:
@@ -220,31 +222,33 @@ def _pairs(held: DataFrame, known: DataFrame) -> DataFrame:
     return words.join(named, "rid")
 
 
-def find(docs: DataFrame, carry_text: bool = False) -> DataFrame:
-    """(doc_id, found: base spans, terms: array of (start, end, share)) for each row."""
-    corpus = _corpus(docs, carry_text)
+def find(docs: DataFrame) -> DataFrame:
+    """(doc_id, found: base spans, terms: array of (start, end, told), text) for each row.
+
+    text is null where there is no base span, and so no term.
+    """
+    corpus = _corpus(docs)
     told, known = disclosing(_texts(corpus))
     told = common.cut(told)
     held = corpus.where(F.size("found") > 0)
-    hits = _pairs(held, known).join(told, ["entity", "term"]).groupBy("rid", "term").agg(F.max("share").alias("share"))
+    hits = _pairs(held, known).join(told, ["entity", "term"]).groupBy("rid", "term").agg(F.max("told").alias("told"))
     # A document's own words only: their number is bounded by its length.
-    shares = hits.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    shares = hits.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("term", "told"))).alias("tells"))
     apart = lambda w: ~F.exists("found", lambda f: (f["start"] < w["end"]) & (w["start"] < f["end"]))
-    share = lambda w: F.try_element_at(F.col("shares"), F.lower(w["value"]))
-    spans = F.filter(located(F.col("text"), WORD, "term"), lambda w: share(w).isNotNull())
+    part = lambda w: F.try_element_at(F.col("tells"), F.lower(w["value"]))
+    spans = F.filter(located(F.col("text"), WORD, "term"), lambda w: part(w).isNotNull())
     spans = F.filter(spans, apart)
-    spans = F.transform(spans, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), share(w).alias("share")))
-    empty = F.array().cast("array<struct<start:int,end:int,share:double>>")
-    terms = F.when(F.col("shares").isNotNull(), spans).otherwise(empty)
-    out = ["doc_id", "found", terms.alias("terms"), *(["text"] if carry_text else [])]
-    return corpus.join(shares, "rid", "left").select(*out)
+    spans = F.transform(spans, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), part(w).alias("told")))
+    empty = F.array().cast("array<struct<start:int,end:int,told:double>>")
+    terms = F.when(F.col("tells").isNotNull(), spans).otherwise(empty)
+    return corpus.join(shares, "rid", "left").select("doc_id", "found", terms.alias("terms"), "text")
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): base spans give way to their kind, disclosing words go or are generalised."""
-    rows = find(docs, carry_text=True)
+def sanitised() -> Column:
+    """Of a row of ``find``: its text, base spans replaced by their kind, disclosing words removed
+    or generalised; null where nothing is to be replaced."""
     marks = F.concat(
         _marks(F.col("found"), lambda f: F.concat(F.lit("["), F.upper(f["kind"]), F.lit("]"))),
-        _marks(F.col("terms"), lambda t: F.when(t["share"] >= SURE, "").otherwise("[TERM]")),
+        _marks(F.col("terms"), lambda t: F.when(t["told"] >= SURE, "").otherwise("[TERM]")),
     )
-    return rows.select("doc_id", _replaced(F.col("text"), marks).alias("text"))
+    return F.when(F.size("found") > 0, _replaced(F.col("text"), marks))

@@ -77,6 +77,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *map(count, pii.PATTERNS),
         F.sha2(_spans(base, pii.KINDS, True).cast("binary"), 256).alias("base_sha256"),
         _spans(F.concat(base, F.transform("terms", term)), pii.KINDS, True).alias("spans"),
+        pii.sanitised().alias("sanitised"),
     )
 
 
