@@ -28,16 +28,72 @@ from pyspark.sql import functions as F
 
 from . import common
 
-GRAM, WINDOW = 3, 3
+GRAM, WINDOW, SHORT = 3, 3, 20
 #: Words that the alignment may drift from its diagonal (a quarter of a short template's), and
 #: the coverage reported.
 BAND, LEAST = 12, 0.6
 
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution. "
+)
+_BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+    "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+    "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+    "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+    "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
+    "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE"
+)
+
+
+def _gnu(name: str, version: str) -> str:
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as "
+        f"published by the Free Software Foundation, either version {version} of the License, or (at your option) any "
+        "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        f"See the {name} for more details."
+    )
+
+
+def _creative(name: str) -> str:
+    return f"This work is licensed under a Creative Commons {name} 4.0 International License."
+
+
+#: Whole short licenses, the notices that longer ones ask for, and customary lines.
 TEMPLATES = {
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0",
     "MIT line": "Released under the MIT License",
+    "MIT line 2": "Licensed under the MIT License",
+    "BSD line": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3",
+    "GPL-2.0 line": "This work is licensed under the terms of the GNU General Public License, version 2",
     "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0",
+    "CC-BY-4.0 line": "Licensed under CC BY 4.0",
+    "CC-BY-SA-4.0 line": "Licensed under CC BY-SA 4.0",
+    "CC-BY-4.0": _creative("Attribution"),
+    "CC-BY-SA-4.0": _creative("Attribution-ShareAlike"),
+    "CC-BY-NC-4.0": _creative("Attribution-NonCommercial"),
+    "CC-BY-ND-4.0": _creative("Attribution-NoDerivatives"),
+    "CC-BY-NC-SA-4.0": _creative("Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND-4.0": _creative("Attribution-NonCommercial-NoDerivatives"),
+    "CC0-1.0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
+        "this work."
+    ),
     "Apache-2.0": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
         "compliance with the License. You may obtain a copy of the License at "
@@ -52,34 +108,51 @@ TEMPLATES = {
         "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
         "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
         "following conditions: The above copyright notice and this permission notice shall be included in all "
-        'copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF '
-        "ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS "
-        "FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
-    ),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met: Redistributions of source code must retain the above copyright "
-        "notice, this list of conditions and the following disclaimer. Redistributions in binary form must "
-        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-        "documentation and/or other materials provided with the distribution. Neither the name of the copyright "
-        "holder nor the names of its contributors may be used to endorse or promote products derived from this "
-        "software without specific prior written permission."
+        f"copies or substantial portions of the Software. {_AS_IS} AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS "
+        "OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, "
+        "TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE "
+        "SOFTWARE."
     ),
+    "BSD-2-Clause": _BSD + _BSD_DISCLAIMER,
+    "BSD-3-Clause": _BSD + _BSD_NAMES + _BSD_DISCLAIMER,
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
-        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE '
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+        "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+        "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+        "held liable for any damages arising from the use of this software. Permission is granted to anyone to use "
+        "this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to the following restrictions: The origin of this software must not be misrepresented; you "
+        "must not claim that you wrote the original software. If you use this software in a product, an "
+        "acknowledgment in the product documentation would be appreciated but is not required. Altered source "
+        "versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "This notice may not be removed or altered from any source distribution."
     ),
-    "GPL-3.0 header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-        "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
-        "(at your option) any later version. This program is distributed in the hope that it will be useful, but "
-        "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
-        "PURPOSE. See the GNU General Public License for more details."
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software "
+        'and accompanying documentation covered by this license (the "Software") to use, reproduce, display, '
+        "distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to "
+        "permit third-parties to whom the Software is furnished to do so"
     ),
+    "GPL-2.0 header": _gnu("GNU General Public License", "2"),
+    "GPL-3.0 header": _gnu("GNU General Public License", "3"),
+    "LGPL-2.1 header": _gnu("GNU Lesser General Public License", "2.1"),
+    "LGPL-3.0 header": _gnu("GNU Lesser General Public License", "3"),
+    "AGPL-3.0 header": _gnu("GNU Affero General Public License", "3"),
     "MPL-2.0 header": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
         "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
+    "EPL-2.0 header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+        "2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"
+    ),
     "Unlicense": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
         "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
@@ -95,7 +168,10 @@ def words(text: str) -> list[str]:
 
 
 class Scanner:
-    """The templates' vocabulary, index and alignment."""
+    """The templates' vocabulary, index and alignment.
+
+    Of a template of up to SHORT words all runs are indexed: a winnowed few could all be edited.
+    """
 
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         self.names = list(templates)
@@ -109,8 +185,9 @@ class Scanner:
         self.bands = [min(BAND, max(1, len(s) // 4)) for s in self.seqs]
         self.index: dict[int, list[tuple[int, int]]] = {}
         for k, seq in enumerate(self.seqs):
-            for at in self.winnow(self.grams(seq)):
-                self.index.setdefault(int(self.grams(seq)[at]), []).append((k, int(at)))
+            h = self.grams(seq)
+            for at in range(len(h)) if len(seq) <= SHORT else self.winnow(h):
+                self.index.setdefault(int(h[at]), []).append((k, int(at)))
         self.known = np.array(sorted(self.index), dtype=np.uint64)
 
     @staticmethod
@@ -199,11 +276,11 @@ class Scanner:
         return (int(best[j]), int(begin[j]), int(last[j])) if best[j] else None
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(doc_id, template, coverage, start, end): one row per occurrence."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scanner = common.worker_state("licenses", None, Scanner)
+        scanner = common.worker_state("licenses", tuple(templates.items()), lambda: Scanner(templates))
         rows = [
             (doc, *x)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
