@@ -27,8 +27,8 @@ def nearest_rank(rows: DataFrame, keys: list[str], value: str, quantiles: dict[s
 
 
 def headline(files: DataFrame) -> DataFrame:
-    """Files, lines and blank files per language, with the total as lang null."""
-    return files.rollup("lang").agg(F.count("*").alias("files"), F.sum("lines").cast("long").alias("lines"), F.count_if(F.col("lines") == 0).alias("empty"))
+    """Files, lines and blank files per language, and in all (total = 1; a null lang is its own)."""
+    return files.rollup("lang").agg(F.grouping("lang").cast("int").alias("total"), F.count("*").alias("files"), F.sum("lines").cast("long").alias("lines"), F.count_if(F.col("lines") == 0).alias("empty"))
 
 
 def violated(measured: DataFrame) -> Column:
@@ -36,11 +36,13 @@ def violated(measured: DataFrame) -> Column:
 
 
 def measured_violated(banded: DataFrame) -> DataFrame:
-    """Measured and violated per metric and language, and per metric (lang null)."""
+    """Measured and violated per metric and language, and per metric (total = 1; a null lang is its own)."""
     return (
         banded.rollup("metric", "lang")
-        .agg(F.count("*").alias("measured"), F.count_if(violated(banded)).alias("violated"))
-        .where("metric is not null")
+        .agg(F.grouping_id().alias("g"), F.count("*").alias("measured"), F.count_if(violated(banded)).alias("violated"))
+        .where("g < 2")
+        .withColumn("total", F.col("g").cast("int"))
+        .drop("g")
         .withColumn("rate", F.round(F.col("violated") / F.col("measured"), 6))
     )
 
@@ -138,7 +140,7 @@ def pins(measured: DataFrame, metrics: DataFrame, least: int = 200) -> DataFrame
 
 def policy_audit(banded: DataFrame, metrics: DataFrame) -> DataFrame:
     """Policy metrics that the corpus itself breaks more often than their rung allows."""
-    rates = measured_violated(banded).where("lang is null").select("metric", "measured", "violated", "rate")
+    rates = measured_violated(banded).where("total = 1").select("metric", "measured", "violated", "rate")
     seen = rates.join(metrics.where("calib = 'policy'").select("metric", "rung"), "metric")
     return seen.where(F.col("rate") > F.when(F.col("rung") <= 2, 0.01).otherwise(0.05))
 

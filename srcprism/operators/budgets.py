@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from ..functions import text as T
 
 
 def merged(base: DataFrame, override: DataFrame) -> DataFrame:
@@ -19,19 +16,12 @@ def banded(measured: DataFrame, budgets: DataFrame) -> DataFrame:
     """Measurements with the band of the deepest directory that holds them.
 
     ``budgets`` (scope, lang, metric, lo, hi; lang null: any) is configuration: a row for each
-    metric and scope, small by its nature. A file's directories are listed once and matched
-    by equality, so no pair of file and scope is ever made.
+    metric and scope, small by its nature. It is gathered into one list a metric, the deepest
+    scope and the stated language first; each row takes the first entry that holds it, so the
+    measurements are neither shuffled nor given ids.
     """
-    rows = measured.withColumn("__id", F.monotonically_increasing_id())
-    dirs = F.split(T.dir_of(F.col("path")), "/")
-    scopes = F.concat(F.array(F.lit("")), F.transform(dirs, lambda _, i: F.array_join(F.slice(dirs, F.lit(1), i + 1), "/")))
-    b = budgets.select(F.col("scope"), F.col("lang").alias("__lang"), F.col("metric").alias("__metric"), "lo", "hi")
-    placed = (
-        rows.select("__id", "metric", "lang", F.posexplode(F.array_distinct(scopes)).alias("__depth", "scope"))
-        .join(b.withColumnRenamed("__metric", "metric"), ["metric", "scope"])
-        .where("__lang is null or __lang = lang")
-    )
-    best = placed.groupBy("__id").agg(
-        F.max(F.struct("__depth", F.col("__lang").isNotNull().alias("own"), "lo", "hi")).alias("b")
-    )
-    return rows.join(best, "__id").select(*measured.columns, "b.lo", "b.hi")
+    rank = [(-F.length("scope")).alias("above"), F.col("lang").isNull().alias("any")]
+    lists = budgets.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct(*rank, "scope", "lang", "lo", "hi"))).alias("__bands"))
+    holds = lambda b: ((b["scope"] == "") | F.col("path").startswith(F.concat(b["scope"], F.lit("/")))) & (b["lang"].isNull() | (b["lang"] == F.col("lang")))
+    placed = measured.join(F.broadcast(lists), "metric").withColumn("__b", F.get(F.filter("__bands", holds), F.lit(0)))
+    return placed.where("__b is not null").select(*measured.columns, "__b.lo", "__b.hi")

@@ -15,18 +15,25 @@ def baseline(broke: DataFrame, metrics: DataFrame, most: int = 2) -> DataFrame:
     return kept.groupBy("metric", "path", "unit").agg(F.when(F.max(below), F.min("value")).otherwise(F.max("value")).alias("value"))
 
 
-def ratchet(current: DataFrame, ledger: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Fresh violations: unseen, or grown beyond the ledger.
+def ratchet(current: DataFrame, ledger: DataFrame, scanned: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Fresh violations: unseen, or worse than the ledger's value.
 
-    A row unseen at its path is compared with the most permissive value of its unit among
-    paths that are gone from the scan: a moved file brings its debt along.
+    A ceiling grows worse upwards and a floor downwards; a band with both bounds, or a metric
+    that ``metrics`` (metric, lo, hi) does not know, never does. A row unseen at its path is
+    compared with the most permissive value of its unit among paths that are gone from the scan:
+    a moved file brings its debt along. A value that the ledger leaves null tolerates any.
     """
-    old = ledger.select("metric", "path", "unit", F.col("value").alias("was"))
-    gone = ledger.join(scanned.select("path").distinct(), "path", "left_anti")
-    moved = gone.groupBy("metric", "unit").agg(F.max("value").alias("moved"))
-    seen = current.join(old, ["metric", "path", "unit"], "left").join(moved, ["metric", "unit"], "left")
-    limit = F.coalesce("was", "moved")
-    why = F.when(limit.isNull(), "new").when(F.col("value") > limit, "grown")
+    way = F.when(F.col("lo").isNull() & F.col("hi").isNotNull(), 1).when(F.col("lo").isNotNull() & F.col("hi").isNull(), -1).otherwise(0)
+    ways = metrics.select("metric", way.alias("way"))
+    old = ledger.select("metric", "path", "unit", F.col("value").alias("was"), F.lit(True).alias("known"))
+    gone = ledger.join(scanned.select("path").distinct(), "path", "left_anti").join(ways, "metric", "left")
+    any_null = F.max(F.col("value").isNull())
+    least = F.min(F.when(F.col("way") == -1, F.col("value")))
+    moved = gone.groupBy("metric", "unit").agg(F.when(~any_null, F.coalesce(least, F.max("value"))).alias("moved"), F.lit(True).alias("came"))
+    seen = current.join(old, ["metric", "path", "unit"], "left").join(moved, ["metric", "unit"], "left").join(ways, "metric", "left")
+    limit = F.when(F.col("known"), F.col("was")).otherwise(F.col("moved"))
+    worse = F.when(F.col("way") == 1, F.col("value") > limit).when(F.col("way") == -1, F.col("value") < limit).otherwise(F.lit(False))
+    why = F.when(F.col("known").isNull() & F.col("came").isNull(), "new").when(worse, "worse")
     return seen.withColumn("why", why).where("why is not null").select("metric", "path", "unit", "value", limit.alias("was"), "why")
 
 
@@ -37,19 +44,39 @@ def changed_units(units: DataFrame, hunks: DataFrame) -> DataFrame:
 
 
 def api_breaks(before: DataFrame, after: DataFrame) -> DataFrame:
-    """The first way in which a public unit broke: (qualname, params, required, returns)."""
-    b = before.select("qualname", F.col("params").alias("bp"), F.col("required").alias("br"), F.col("returns").alias("bret"))
-    a = after.select("qualname", F.col("params").alias("ap"), F.col("required").alias("ar"), F.col("returns").alias("aret"), F.lit(True).alias("there"))
-    renamed = F.exists(F.arrays_zip("bp", "ap"), lambda z: z["bp"] != z["ap"])
+    """The first way in which a public unit narrowed: (qualname, broke, detail).
+
+    Both sides have (qualname, params, types, optional, returns): three arrays of one length, a
+    type empty where it is not stated. Required additions and dropped parameters count first;
+    then the shared parameters are walked position by position, at each its type, its name and
+    whether it became required; the type returned comes last. What only widens is no break.
+    """
+    names = ("params", "types", "optional", "returns")
+    b = before.select("qualname", *[F.col(c).alias(f"b_{c}") for c in names])
+    a = after.select("qualname", *[F.col(c).alias(f"a_{c}") for c in names], F.lit(True).alias("there"))
+    was, now = F.size("b_params"), F.size("a_params")
+    required = F.transform(F.filter(F.transform("a_params", lambda p, i: F.struct(p.alias("p"), (~F.get("a_optional", i) & (i >= was)).alias("new"))), lambda x: x["new"]), lambda x: x["p"])
+    dropped = F.slice("b_params", now + 1, F.greatest(was - now, F.lit(0)))
+
+    def position(i):
+        bt, at, bn, an = F.get("b_types", i), F.get("a_types", i), F.get("b_params", i), F.get("a_params", i)
+        say = lambda kind, *detail: F.struct(F.lit(kind).alias("broke"), F.concat(*detail).alias("detail"))
+        return (
+            F.when((bt != at) & (bt != "") & (at != ""), say("type", bn, F.lit(": "), bt, F.lit(" -> "), at))
+            .when(bn != an, say("renamed", bn, F.lit(" -> "), an))
+            .when(F.get("b_optional", i) & ~F.get("a_optional", i), say("became required", an))
+        )
+
+    shared = F.when(F.least(was, now) > 0, F.get(F.filter(F.transform(F.sequence(F.lit(0), F.least(was, now) - 1), position), lambda x: x.isNotNull()), F.lit(0)))
+    say = lambda kind, detail: F.struct(F.lit(kind).alias("broke"), detail.alias("detail"))
     broke = F.coalesce(
-        F.when(F.col("there").isNull(), F.lit("removed")),
-        F.when((F.size("ap") > F.size("bp")) & (F.col("ar") > F.col("br")), F.lit("gained required")),
-        F.when(F.size("ap") < F.size("bp"), F.lit("dropped")),
-        F.when(renamed, F.lit("renamed")),
-        F.when(F.col("ar") > F.col("br"), F.lit("became required")),
-        F.when(F.col("bret") != F.col("aret"), F.lit("return changed")),
+        F.when(F.col("there").isNull(), say("removed", F.lit(""))),
+        F.when((now > was) & (F.size(required) > 0), say("gained required", F.array_join(required, ", "))),
+        F.when(now < was, say("dropped", F.array_join(dropped, ", "))),
+        shared,
+        F.when((F.col("b_returns") != F.col("a_returns")) & (F.col("b_returns") != ""), say("returns", F.concat("b_returns", F.lit(" -> "), "a_returns"))),
     )
-    return b.join(a, "qualname", "left").withColumn("broke", broke).where("broke is not null").select("qualname", "broke")
+    return b.join(a, "qualname", "left").withColumn("x", broke).where("x is not null").select("qualname", "x.broke", "x.detail")
 
 
 def drift(keys: DataFrame) -> DataFrame:

@@ -6,31 +6,14 @@ wrote, so lineage stays short. Graphs here have one node per module: far fewer r
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from . import aggregate
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Write and reread in the shared folder where it is set; else rely on the cache (tests)."""
-    spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        out = df.persist()
-        out.count()
-        return out
-    path = f"{root.rstrip('/')}/srcprism-graph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from . import aggregate, durable
 
 
 def resolve(imports: DataFrame, modules: DataFrame) -> DataFrame:
@@ -150,49 +133,49 @@ def components(graph: DataFrame, most: int = ONE_TASK) -> DataFrame:
     if graph.count() <= most:
         return ordered(graph).select("node", "scc")
     nodes = graph.select(F.col("src").alias("node")).union(graph.select("dst")).distinct()
-    done, live, left = None, _cut(graph), _cut(nodes)
+    done, live, left = None, durable.cut(graph), durable.cut(nodes)
     while not left.isEmpty():
         # Nodes without a way in or out are components of their own.
         while True:
             inner = live.select(F.col("src").alias("node")).intersect(live.select(F.col("dst").alias("node")))
-            alone = _cut(left.join(inner, "node", "left_anti"))
+            alone = durable.cut(left.join(inner, "node", "left_anti"))
             if alone.isEmpty():
                 break
             part = alone.select("node", F.col("node").alias("root"))
             done = part if done is None else done.union(part)
-            left = _cut(left.join(alone, "node", "left_anti"))
-            live = _cut(live.join(alone, live.src == alone.node, "left_anti").join(alone, live.dst == alone.node, "left_anti"))
+            left = durable.cut(left.join(alone, "node", "left_anti"))
+            live = durable.cut(live.join(alone, live.src == alone.node, "left_anti").join(alone, live.dst == alone.node, "left_anti"))
         if left.isEmpty():
             break
-        colour = _cut(left.select("node", F.col("node").alias("colour")))
+        colour = durable.cut(left.select("node", F.col("node").alias("colour")))
         while True:
             sent = live.join(colour, live.src == colour.node).groupBy("dst").agg(F.max("colour").alias("got"))
-            new = _cut(colour.join(sent, colour.node == sent.dst, "left").select("node", F.greatest("colour", F.coalesce("got", "colour")).alias("colour"), (F.coalesce("got", "colour") > F.col("colour")).alias("moved")))
+            new = durable.cut(colour.join(sent, colour.node == sent.dst, "left").select("node", F.greatest("colour", F.coalesce("got", "colour")).alias("colour"), (F.coalesce("got", "colour") > F.col("colour")).alias("moved")))
             moved = not new.where("moved").isEmpty()
             colour = new.select("node", "colour")
             if not moved:
                 break
-        inside = _cut(
+        inside = durable.cut(
             live.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("cs")), "src")
             .join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst")
             .where("cs = cd").select("src", "dst", F.col("cs").alias("colour"))
         )
-        reached = _cut(colour.where("node = colour"))
+        reached = durable.cut(colour.where("node = colour"))
         front = reached
         while True:
             back = inside.join(front.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
-            front = _cut(back.join(reached, ["node", "colour"], "left_anti"))
+            front = durable.cut(back.join(reached, ["node", "colour"], "left_anti"))
             if front.isEmpty():
                 break
-            reached = _cut(reached.union(front))
+            reached = durable.cut(reached.union(front))
         part = reached.select("node", F.col("colour").alias("root"))
         done = part if done is None else done.union(part)
-        left = _cut(left.join(reached.select("node"), "node", "left_anti"))
+        left = durable.cut(left.join(reached.select("node"), "node", "left_anti"))
         gone = reached.select("node")
-        live = _cut(live.join(gone, live.src == gone.node, "left_anti").join(gone, live.dst == gone.node, "left_anti"))
+        live = durable.cut(live.join(gone, live.src == gone.node, "left_anti").join(gone, live.dst == gone.node, "left_anti"))
     if done is None:
         return nodes.select("node", F.col("node").alias("scc"))
-    done = _cut(done)
+    done = durable.cut(done)
     least = done.groupBy("root").agg(F.min("node").alias("scc"))
     return done.join(least, "root").select("node", "scc")
 
@@ -215,12 +198,12 @@ def depths(graph: DataFrame, scc: DataFrame | None = None, most: int = ONE_TASK)
     """
     if graph.count() <= most:
         return ordered(graph).select("node", "depth")
-    scc = _cut(components(graph, most)) if scc is None else scc
-    dag = _cut(condensation(graph, scc))
-    level = _cut(scc.select(F.col("scc").alias("c")).distinct().withColumn("depth", F.lit(1)))
+    scc = durable.cut(components(graph, most)) if scc is None else scc
+    dag = durable.cut(condensation(graph, scc))
+    level = durable.cut(scc.select(F.col("scc").alias("c")).distinct().withColumn("depth", F.lit(1)))
     while True:
         below = dag.join(level, dag.dst == level.c).groupBy("src").agg((F.max("depth") + 1).alias("d"))
-        new = _cut(level.join(below, level.c == below.src, "left").select("c", F.greatest("depth", F.coalesce("d", "depth")).alias("depth"), (F.coalesce("d", "depth") > F.col("depth")).alias("moved")))
+        new = durable.cut(level.join(below, level.c == below.src, "left").select("c", F.greatest("depth", F.coalesce("d", "depth")).alias("depth"), (F.coalesce("d", "depth") > F.col("depth")).alias("moved")))
         level = new.select("c", "depth")
         if new.where("moved").isEmpty():
             break
@@ -238,11 +221,11 @@ def reach(graph: DataFrame) -> DataFrame:
     Paths double in length each round, so there are as many rounds as the logarithm of the
     longest shortest path; the result is the closure, as large as the answer to be summed.
     """
-    every = _cut(graph.select(F.col("dst").alias("node"), F.col("src").alias("by")).distinct())
+    every = durable.cut(graph.select(F.col("dst").alias("node"), F.col("src").alias("by")).distinct())
     count = every.count()
     while True:
         more = every.join(every.select(F.col("node").alias("by"), F.col("by").alias("via")), "by").select("node", F.col("via").alias("by"))
-        every = _cut(every.union(more).distinct())
+        every = durable.cut(every.union(more).distinct())
         before, count = count, every.count()
         if count == before:
             return every.where("node <> by")
@@ -287,7 +270,7 @@ def dead_exports(exports: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def fat_surfaces(exports: DataFrame, used: DataFrame) -> DataFrame:
-    """Exports and how many of them some import names, the least used share first."""
+    """Exports and how many of them some import names."""
     hits = exports.join(used.select("path", "name").distinct(), ["path", "name"], "left_semi").groupBy("path").agg(F.count("*").alias("hits"))
     width = exports.groupBy("path").agg(F.count("*").alias("exports"))
     return width.join(hits, "path", "left").select("path", "exports", F.coalesce("hits", F.lit(0)).alias("hits"))

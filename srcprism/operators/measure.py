@@ -20,6 +20,8 @@ CRUSHED = set(
     "arg attr buf bufr calc cfg cmd cnt conv ctx curr dest dst elem err func idx impl init mgr msg num obj opts params pos prev ptr ref req res resp src str tmp usr val".split()
 )
 DOC_METRIC = {"ModuleHeader": "module doc", "TypeDoc": "type doc", "FnSummary": "fn doc", "FieldDoc": "field doc", "Inline": "inline doc"}
+#: Languages whose front-end has a syntax tree.
+TREES = ("py",)
 TYPED = ("py", "ts", "tsx", "rs", "go", "java", "cs", "swift", "scala", "php")
 
 
@@ -79,9 +81,11 @@ def unit_measures(facts: DataFrame) -> DataFrame:
 
 def file_measures(facts: DataFrame) -> DataFrame:
     rows = measurable(facts)
+    # What only a syntax tree tells has no row where there is only a lexer.
+    tree = F.col("lang").isin(*TREES)
     kinds = {
-        "spooky": ("spooky", ~F.col("is_test_file")), "suppressions": ("suppressions", None), "echo comments": ("echo", None), "magic strings": ("magic_strings", None),
-        "skipped tests": ("skipped_tests", None), "commented code": ("commented_code", None), "built query": ("built_query", None), "shelled out": ("shelled_out", None),
+        "spooky": ("spooky", tree & ~F.col("is_test_file")), "suppressions": ("suppressions", None), "echo comments": ("echo", tree), "magic strings": ("magic_strings", tree),
+        "skipped tests": ("skipped_tests", tree), "commented code": ("commented_code", tree), "built query": ("built_query", tree), "shelled out": ("shelled_out", tree),
     }
     leaked = F.filter("literals", lambda x: T.is_leaked_credential(x["name"], x["value"]))
     of_kind = lambda kind: F.filter("findings", lambda x: x["kind"] == kind)

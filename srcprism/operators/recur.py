@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import durable
 
 
 def clone_classes(sites: DataFrame) -> DataFrame:
-    """Classes of at least two sites (path, hash, mass, line, end_line), with four examples.
+    """Classes of at least two sites (path, hash, mass, line, end_line), with the first of them.
 
     Almost all hashes have one site: they end in the partial aggregation's buffers.
     """
@@ -60,14 +59,13 @@ def near_clones(fps: DataFrame, cap: int = 12, least: float = 0.6) -> DataFrame:
     the operator's meaning, and it bounds the pairs of a print by cap * (cap - 1) / 2.
     """
     unit = F.concat_ws("#", "path", "unit")
-    rows = fps.select(unit.alias("u"), "fp").distinct()
+    rows = durable.cut(fps.select(unit.alias("u"), "fp").distinct())
     sizes = rows.groupBy("u").agg(F.count("*").alias("n"))
-    posts = rows.groupBy("fp").agg(F.count("*").alias("posts")).where(F.col("posts").between(2, cap)).select("fp")
-    lists = rows.join(posts, "fp")
-    pairs = (
-        lists.select("fp", F.col("u").alias("a")).join(lists.select("fp", F.col("u").alias("b")), "fp").where("a < b")
-        .groupBy("a", "b").agg(F.count("*").alias("shared"))
-    )
+    few = rows.groupBy("fp").agg(F.count("*").alias("posts")).where(F.col("posts").between(2, cap))
+    # At most ``cap`` postings a print: its pairs are made in the row.
+    lists = rows.join(few.select("fp"), "fp").groupBy("fp").agg(F.array_sort(F.collect_list("u")).alias("us"))
+    later = lambda a, i: F.transform(F.slice("us", i + 2, F.size("us")), lambda b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = lists.select(F.explode(F.flatten(F.transform("us", later))).alias("p")).select("p.*").groupBy("a", "b").agg(F.count("*").alias("shared"))
     na, nb = sizes.select(F.col("u").alias("a"), F.col("n").alias("na")), sizes.select(F.col("u").alias("b"), F.col("n").alias("nb"))
     overlap = F.col("shared") / F.least("na", "nb")
     return pairs.join(na, "a").join(nb, "b").where(overlap >= least).select("a", "b", "shared", F.round(overlap, 6).alias("overlap"))

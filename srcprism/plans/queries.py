@@ -15,7 +15,7 @@ from ..operators import gates as C
 from ..operators import graph as G
 from ..operators import rank as R
 from ..operators import recur as P
-from .views import Views, spelled, spelled_sql, sql
+from .views import Views, literal, spelled, spelled_sql, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,7 +75,7 @@ def config_merge(v: Views) -> DataFrame:
     ON k.path = b.path AND k.metric = b.metric AND k.job = string_split_regex(b.unit, '[.:]')[-1]"""
 )
 def neighbourhood(v: Views) -> DataFrame:
-    return longs(R.neighbourhood(v.banded()))
+    return longs(R.neighbourhood(v.banded(True)))
 
 
 @query(
@@ -87,7 +87,7 @@ def neighbourhood(v: Views) -> DataFrame:
     JOIN (SELECT claim, count(*) - 1 AS alike FROM bodies GROUP BY claim) a USING (claim)"""
 )
 def ranked_bodies(v: Views) -> DataFrame:
-    return longs(R.bodies(v.broke()).select("path", "line", "unit", "worst", "findings", "claim", "alike"))
+    return longs(R.bodies(v.broke(True)).select("path", "line", "unit", "worst", "findings", "claim", "alike"))
 
 
 @query(
@@ -115,7 +115,7 @@ def _test_refs(v: Views) -> DataFrame:
 )
 def cost_clause(v: Views) -> DataFrame:
     bearing = v.sites().where("mass >= 12").groupBy("path").agg(F.count("*").alias("blast")).where("blast >= 40")
-    broke = v.broke()
+    broke = v.broke(True)
     bare = C.untested(broke, _test_refs(v))
     return longs(R.cost_clause(broke, bearing, bare))
 
@@ -123,17 +123,17 @@ def cost_clause(v: Views) -> DataFrame:
 # -- aggregation ----------------------------------------------------------------------
 
 
-@query("SELECT lang, count(*) AS files, sum(lines)::BIGINT AS lines, count(*) FILTER (WHERE lines = 0) AS empty FROM files GROUP BY ROLLUP (lang)")
+@query("SELECT lang, grouping(lang) AS total, count(*) AS files, sum(lines)::BIGINT AS lines, count(*) FILTER (WHERE lines = 0) AS empty FROM files GROUP BY ROLLUP (lang)")
 def headline(v: Views) -> DataFrame:
-    return A.headline(v.files())
+    return longs(A.headline(v.files()))
 
 
 @query(
-    """SELECT metric, lang, count(*) AS measured, count(*) FILTER (WHERE bad) AS violated, round(count(*) FILTER (WHERE bad) / count(*)::DOUBLE, 6) AS rate
+    """SELECT metric, lang, grouping(lang) AS total, count(*) AS measured, count(*) FILTER (WHERE bad) AS violated, round(count(*) FILTER (WHERE bad) / count(*)::DOUBLE, 6) AS rate
     FROM (SELECT *, coalesce(value > hi, FALSE) OR coalesce(value < lo, FALSE) AS bad FROM banded) GROUP BY GROUPING SETS ((metric, lang), (metric))"""
 )
 def measured_violated_rollup(v: Views) -> DataFrame:
-    return A.measured_violated(v.banded())
+    return longs(A.measured_violated(v.banded()))
 
 
 @query(
@@ -240,7 +240,7 @@ def policy_audit(v: Views) -> DataFrame:
     SELECT dir, files, gates, suspicions, round(gates / files::DOUBLE, 6) AS density, coalesce(d.metric, '') AS driver FROM g LEFT JOIN d USING (dir)"""
 )
 def dir_rollup(v: Views) -> DataFrame:
-    return A.dir_rollup(v.banded(), v.metrics())
+    return A.dir_rollup(v.banded(True), v.metrics())
 
 
 # -- scalar functions -----------------------------------------------------------------
@@ -570,14 +570,21 @@ def baseline_write(v: Views) -> DataFrame:
     return C.baseline(v.broke(), v.metrics())
 
 
+#: A ceiling, a floor, a band and an unknown metric among the kinds of events.
+_WAYS = [("click", None, 1.0), ("purchase", 1.0, None), ("error", 0.1, 0.9), ("view", None, 2.0)]
+
+
 @query(
-    """, gone AS (SELECT metric, unit, max(value) AS m FROM ledger WHERE path NOT IN (SELECT path FROM current_) GROUP BY ALL)
-    SELECT c.metric, c.path, c.unit, c.value, coalesce(l.value, g.m) AS was, CASE WHEN coalesce(l.value, g.m) IS NULL THEN 'new' ELSE 'grown' END AS why
-    FROM current_ c LEFT JOIN ledger l USING (metric, path, unit) LEFT JOIN gone g USING (metric, unit) WHERE coalesce(l.value, g.m) IS NULL OR c.value > coalesce(l.value, g.m)"""
+    f""", ways AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join(map(literal, w)) + ")" for w in _WAYS)}) v(metric, wlo, whi)),
+    gone AS (SELECT metric, unit, CASE WHEN any_value(wlo) IS NOT NULL AND any_value(whi) IS NULL THEN min(value) ELSE max(value) END AS m
+      FROM ledger LEFT JOIN ways USING (metric) WHERE path NOT IN (SELECT path FROM current_) GROUP BY ALL),
+    x AS (SELECT c.*, coalesce(l.value, g.m) AS was, w.wlo, w.whi FROM current_ c LEFT JOIN ledger l USING (metric, path, unit) LEFT JOIN gone g USING (metric, unit) LEFT JOIN ways w USING (metric))
+    SELECT metric, path, unit, value, was, CASE WHEN was IS NULL THEN 'new' ELSE 'worse' END AS why FROM x
+    WHERE was IS NULL OR (wlo IS NULL AND whi IS NOT NULL AND value > was) OR (wlo IS NOT NULL AND whi IS NULL AND value < was)"""
 )
 def ratchet_check(v: Views) -> DataFrame:
     now = v.ledger(True)
-    return C.ratchet(now, v.ledger(False), now)
+    return C.ratchet(now, v.ledger(False), now, v.spark.createDataFrame(_WAYS, "metric string, lo double, hi double"))
 
 
 @query(
@@ -593,26 +600,37 @@ def diff_overlap(v: Views) -> DataFrame:
     return longs(C.changed_units(units, hunks))
 
 
-_API = """api AS (SELECT 'f' || p_partkey AS qualname, p_partkey % 7 AS k, list_slice(['a', 'b', 'c', 'd'], 1, (p_size % 4)::INT) AS bp, (p_size % 4) // 2 AS br FROM part)"""
+_API = """api AS (SELECT 'f' || p_partkey AS qualname, p_partkey % 11 AS k, (p_size % 4)::INT AS n, list_slice(['a', 'b', 'c', 'd'], 1, (p_size % 4)::INT) AS bp,
+    list_slice(['int', '', 'str', 'T'], 1, (p_size % 4)::INT) AS bt, list_slice([FALSE, FALSE, TRUE, TRUE], 1, (p_size % 4)::INT) AS bo, 'str' AS bret FROM part),
+  w AS (SELECT *, CASE WHEN k IN (1, 2) THEN list_append(bp, 'z') WHEN k = 3 THEN bp[1:greatest(n - 1, 0)] WHEN k IN (4, 7) AND n > 0 THEN list_concat(['q'], bp[2:]) ELSE bp END AS ap,
+      CASE WHEN k IN (1, 2) THEN list_append(bt, '') WHEN k = 3 THEN bt[1:greatest(n - 1, 0)] WHEN k IN (5, 7) AND n > 0 THEN list_concat(['float'], bt[2:]) WHEN k = 8 THEN list_transform(bt, lambda x: '') ELSE bt END AS at_,
+      CASE WHEN k = 1 THEN list_append(bo, FALSE) WHEN k = 2 THEN list_append(bo, TRUE) WHEN k = 3 THEN bo[1:greatest(n - 1, 0)] WHEN k = 6 THEN list_transform(bo, lambda x: FALSE) ELSE bo END AS ao,
+      CASE WHEN k = 9 THEN 'int' ELSE 'str' END AS aret FROM api WHERE k <> 0)"""
 
 
 @query(
-    f""", {_API}, x AS (SELECT *, CASE WHEN k = 1 THEN list_append(bp, 'z') WHEN k = 2 AND len(bp) > 0 THEN bp[1:len(bp) - 1] WHEN k = 3 AND len(bp) > 0 THEN list_concat(['q'], bp[2:]) ELSE bp END AS ap, CASE WHEN k IN (1, 4) THEN br + 1 ELSE br END AS ar,
-      CASE WHEN k = 5 THEN 'int' ELSE 'str' END AS aret FROM api)
-    SELECT qualname, CASE WHEN k = 0 THEN 'removed' WHEN len(ap) > len(bp) AND ar > br THEN 'gained required' WHEN len(ap) < len(bp) THEN 'dropped' WHEN ap <> bp THEN 'renamed' WHEN ar > br THEN 'became required' WHEN aret <> 'str' THEN 'return changed' END AS broke
-    FROM x WHERE k = 0 OR (len(ap) > len(bp) AND ar > br) OR len(ap) < len(bp) OR ap <> bp OR ar > br OR aret <> 'str'"""
+    f""", {_API} SELECT qualname, 'removed' AS broke, '' AS detail FROM api WHERE k = 0
+    UNION ALL SELECT qualname, broke, detail FROM (SELECT qualname, CASE WHEN k = 1 THEN 'gained required' WHEN k = 3 AND n > 0 THEN 'dropped'
+        WHEN k IN (5, 7) AND n > 0 THEN 'type' WHEN k = 4 AND n > 0 THEN 'renamed' WHEN k = 6 AND n >= 3 THEN 'became required' WHEN k = 9 THEN 'returns' END AS broke,
+      CASE k WHEN 1 THEN 'z' WHEN 3 THEN bp[n] WHEN 5 THEN 'a: int -> float' WHEN 7 THEN 'a: int -> float' WHEN 4 THEN 'a -> q' WHEN 6 THEN 'c' WHEN 9 THEN 'str -> int' END AS detail FROM w) WHERE broke IS NOT NULL"""
 )
 def api_breaks(v: Views) -> DataFrame:
     n = (F.col("p_size") % 4).cast("int")
-    p = v.table("part").select(F.concat(F.lit("f"), "p_partkey").alias("qualname"), (F.col("p_partkey") % 7).alias("k"), F.slice(F.array(*map(F.lit, "abcd")), F.lit(1), n).alias("params"), F.floor(n / 2).cast("int").alias("required"))
-    before = p.select("qualname", "params", "required", F.lit("str").alias("returns"))
-    some = F.size("params") > 0
-    params = (
-        F.when(F.col("k") == 1, F.concat("params", F.array(F.lit("z")))).when((F.col("k") == 2) & some, F.slice("params", F.lit(1), F.greatest(F.size("params") - 1, F.lit(0))))
-        .when((F.col("k") == 3) & some, F.concat(F.array(F.lit("q")), F.slice("params", F.lit(2), F.greatest(F.size("params") - 1, F.lit(0))))).otherwise(F.col("params"))
+    of = lambda values: F.slice(F.array(*map(F.lit, values)), F.lit(1), n)
+    p = v.table("part").select(
+        F.concat(F.lit("f"), "p_partkey").alias("qualname"), (F.col("p_partkey") % 11).alias("k"), n.alias("n"),
+        of("abcd").alias("params"), of(["int", "", "str", "T"]).alias("types"), of([False, False, True, True]).alias("optional"), F.lit("str").alias("returns"),
     )
-    after = p.where("k <> 0").select("qualname", params.alias("params"), (F.col("required") + F.col("k").isin(1, 4).cast("int")).alias("required"), F.when(F.col("k") == 5, "int").otherwise("str").alias("returns"))
-    return C.api_breaks(before, after)
+    k, some, short = F.col("k"), F.col("n") > 0, F.greatest(F.col("n") - 1, F.lit(0))
+    grown = lambda c, x: F.concat(c, F.array(F.lit(x)))
+    first = lambda c, x: F.concat(F.array(F.lit(x)), F.slice(c, F.lit(2), short))
+    params = F.when(k.isin(1, 2), grown("params", "z")).when(k == 3, F.slice("params", F.lit(1), short)).when(k.isin(4, 7) & some, first("params", "q")).otherwise(F.col("params"))
+    types = F.when(k.isin(1, 2), grown("types", "")).when(k == 3, F.slice("types", F.lit(1), short)).when(k.isin(5, 7) & some, first("types", "float"))
+    types = types.when(k == 8, F.transform("types", lambda _: F.lit(""))).otherwise(F.col("types"))
+    optional = F.when(k == 1, grown("optional", False)).when(k == 2, grown("optional", True)).when(k == 3, F.slice("optional", F.lit(1), short))
+    optional = optional.when(k == 6, F.transform("optional", lambda _: F.lit(False))).otherwise(F.col("optional"))
+    after = p.where("k <> 0").select("qualname", params.alias("params"), types.alias("types"), optional.alias("optional"), F.when(k == 9, "int").otherwise("str").alias("returns"))
+    return C.api_breaks(p.drop("k", "n"), after)
 
 
 _KEYS = "keys AS (SELECT DISTINCT p_type AS resource, 'k' || p_partkey AS key, l_returnflag AS env FROM lineitem JOIN part ON l_partkey = p_partkey)"

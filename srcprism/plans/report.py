@@ -33,7 +33,7 @@ def summary(banded: DataFrame, files: DataFrame, metrics: DataFrame) -> dict:
 
 def brief(banded: DataFrame, k: int = 5) -> DataFrame:
     """The metrics that are broken most often."""
-    return A.measured_violated(banded).where("lang is null and violated > 0").orderBy(F.desc("rate"), "metric").limit(k).drop("lang")
+    return A.measured_violated(banded).where("total = 1 and violated > 0").orderBy(F.desc("rate"), "metric").limit(k).drop("lang", "total")
 
 
 def sarif_results(broke: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -46,10 +46,15 @@ def sarif_results(broke: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def sarif(broke: DataFrame, metrics: DataFrame, most: int = 5000) -> str:
-    """A whole SARIF log for a viewer, which itself takes at most ``most`` results: a top list."""
+    """A whole SARIF log for a viewer, which itself takes at most ``most`` results: a top list.
+
+    The log says how many results there are and how many it leaves out.
+    """
     rules = [{"id": r["metric"].replace(" ", "-"), "defaultConfiguration": {"level": LEVELS[r["rung"]]}} for r in metrics.orderBy("rung", "metric").collect()]
     results = [json.loads(r[0]) for r in sarif_results(broke.orderBy("path", "line", "metric").limit(most), metrics).collect()]
-    run = {"tool": {"driver": {"name": "srcprism", "rules": rules}}, "results": results}
+    every = broke.count()
+    told = {"results": every, "omitted": every - len(results)}
+    run = {"tool": {"driver": {"name": "srcprism", "rules": rules}}, "results": results, "properties": told}
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]})
 
 

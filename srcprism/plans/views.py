@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import budgets as B
+from ..operators import durable
 from ..operators import graph as G
 from ..operators import rank as R
 from ..operators import registry
@@ -25,6 +26,7 @@ BUDGETS = [
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._banded: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -61,11 +63,15 @@ class Views:
     def metrics(self) -> DataFrame:
         return registry.metrics(self.spark)
 
-    def banded(self) -> DataFrame:
-        return B.banded(self.measured(), self.budgets())
+    def banded(self, often: bool = False) -> DataFrame:
+        """Measurements with their bands; written once where a query uses them ``often``."""
+        rows = B.banded(self.measured(), self.budgets())
+        if often and self._banded is None:
+            self._banded = durable.cut(rows)
+        return self._banded if often else rows
 
-    def broke(self) -> DataFrame:
-        return R.violations(self.banded())
+    def broke(self, often: bool = False) -> DataFrame:
+        return R.violations(self.banded(often))
 
     def names(self) -> DataFrame:
         c = self.table("customer")
@@ -137,7 +143,7 @@ def _list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-def _value(x) -> str:
+def literal(x) -> str:
     if isinstance(x, float):
         return f"{x!r}::DOUBLE"
     return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else repr(x)
@@ -168,9 +174,9 @@ CTES = {
         SELECT path, lang, unnest(['params', 'depth', 'returns']), unnest([len({_WORDS_OF})::DOUBLE,
             coalesce(list_max(list_transform({_WORDS_OF}, lambda w: length(w))), 0)::DOUBLE, (length(body) - length(replace(body, ',', '')))::DOUBLE]),
           line, 'L' || line || '.' || regexp_extract(lower(body), '[a-z]+') FROM lines_""",
-    "budgets": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_value, b)) + ")" for b in BUDGETS) + ") v(scope, blang, bmetric, lo, hi)",
+    "budgets": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(literal, b)) + ")" for b in BUDGETS) + ") v(scope, blang, bmetric, lo, hi)",
     "metrics": "SELECT * FROM (VALUES "
-    + ", ".join(f"({_value(m)}, {r}, {_value(c)})" for m, r, _, _, c in registry.rows())
+    + ", ".join(f"({literal(m)}, {r}, {literal(c)})" for m, r, _, _, c in registry.rows())
     + ") v(metric, rung, calib)",
     "banded": """SELECT m.path, m.lang, m.metric, m.value, m.line, m.unit, b.lo, b.hi FROM (SELECT *, row_number() OVER () AS rid FROM measured) m
         JOIN budgets b ON b.bmetric = m.metric AND (b.blang IS NULL OR b.blang = m.lang) AND (b.scope = '' OR m.path LIKE b.scope || '/%')
