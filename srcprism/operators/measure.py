@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import brace_front
 from ..sources.files import low_confidence
 
 JUNK = set(
@@ -22,6 +23,16 @@ CRUSHED = set(
 DOC_METRIC = {"ModuleHeader": "module doc", "TypeDoc": "type doc", "FnSummary": "fn doc", "FieldDoc": "field doc", "Inline": "inline doc"}
 #: Languages whose front-end has a syntax tree.
 TREES = ("py",)
+_ALL = " ".join(brace_front.LANGS)
+_CATCH = "ts tsx js java cs cpp php scala"
+#: What the front-end for braces tells, and of which languages.
+BRACED = dict.fromkeys(
+    (
+        "cognitive", "cyclomatic", "depth", "loop depth", "length", "params", "flag params", "magic numbers", "negations", "and name", "generic name", "lying name",
+        "abbreviated", "test asserts", "sleepy test", "asserts", "public docs", "untyped params", "loose types", "confusable", "stringly id", "bool traps",
+    ),
+    _ALL,
+) | {"swallowed": _CATCH, "broad catch": "java cs cpp php", "casts": "ts tsx rs", "wildcard match": "rs go ts tsx js java cs c cpp cu swift scala php sol", "returns": "go rs swift", "unwraps": "rs go swift zig"}
 TYPED = ("py", "ts", "tsx", "rs", "go", "java", "cs", "swift", "scala", "php")
 
 
@@ -75,8 +86,12 @@ def unit_measures(facts: DataFrame) -> DataFrame:
         "ceremony": ((f("literal_body") & (c("doc_lines") >= 3)).cast("int"), inner & ~f("is_method") & ~test & (F.size(params) == 0)),
         "doc param": (F.size(unknown), inner & (F.size(stated) > 0) & ~(splat & (F.size(F.array_intersect(stated, known)) > 0))),
     }
-    if_panicky = {"unwraps": (F.lit(0), plain & F.col("lang").isin("rs", "go", "swift", "zig")), "conditional hook": (F.lit(0), F.col("lang").isin("tsx", "js"))}
-    return u.select("path", "lang", f("line").alias("line"), f("qualname").alias("unit"), _rows(values | if_panicky)).select("path", "lang", "m.*", "line", "unit")
+    values["unwraps"] = (c("unwraps"), plain & F.col("lang").isin("rs", "go", "swift", "zig"))
+    # A front-end that reads braces tells less than a tree: the rest has no row.
+    tree = F.col("lang").isin(*TREES)
+    told = {m: tree for m in values} | {m: tree | F.col("lang").isin(*langs.split()) for m, langs in BRACED.items()}
+    values = {m: (v, told[m] if guard is None else told[m] & guard) for m, (v, guard) in values.items()}
+    return u.select("path", "lang", f("line").alias("line"), f("qualname").alias("unit"), _rows(values)).select("path", "lang", "m.*", "line", "unit")
 
 
 def file_measures(facts: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators import gates as C
 from ..operators import graph as G
 from ..operators import rank as R
 from ..operators import recur as P
+from . import made
 from .views import Views, literal, spelled, spelled_sql, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -702,6 +703,41 @@ def scan_sources(v: Views) -> DataFrame:
     return X.extract(rows).groupBy("lang").agg(F.count("*").alias("files"), F.sum("lines").cast("long").alias("lines"))
 
 
+def metric_closed_forms(v: Views) -> DataFrame:
+    """Measurements of made sources: totals per target and pair of numbers that made the file."""
+    from ..operators import measure
+    from ..sources import extract as X
+
+    at = F.split("path", "/")
+    made_by = F.split(F.get(at, F.lit(1)), "_")
+    targets = v.spark.createDataFrame([t[:3] for t in made.TARGETS], "file string, unit string, metric string")
+    rows = measure.measurements(X.extract(made.sources(v.table("part"))))
+    rows = rows.withColumns({"file": F.get(at, F.lit(0)), "n": F.get(made_by, F.lit(0)).cast("long"), "m": F.get(made_by, F.lit(1)).cast("long")})
+    counts = rows.join(F.broadcast(targets), ["file", "unit", "metric"]).groupBy("file", "unit", "metric", "n", "m")
+    return counts.agg(F.countDistinct("path").alias("files"), F.round(F.sum(F.round("value", 6)), 4).alias("total"))
+
+
+QUERIES["metric_closed_forms"] = lambda spark, sf_dir: metric_closed_forms(Views(spark, sf_dir))
+ORACLES["metric_closed_forms"] = made.totals_sql()
+
+
+def braced_closed_forms(v: Views) -> DataFrame:
+    """Measurements of made sources in languages with braces, of the one function in each."""
+    from ..operators import measure
+    from ..sources import extract as X
+
+    made_by = F.split(F.get(F.split("path", "/"), F.lit(1)), "_")
+    targets = v.spark.createDataFrame([(lang, t[0]) for t in made.BRACED_TARGETS for lang in t[1].split()], "lang string, metric string")
+    rows = measure.unit_measures(X.extract(made.braced(v.table("part")))).where("unit <> '<module>'")
+    rows = rows.withColumns({"n": F.get(made_by, F.lit(0)).cast("long"), "m": F.get(made_by, F.lit(1)).cast("long")})
+    counts = rows.join(F.broadcast(targets), ["lang", "metric"]).groupBy("lang", "metric", "n", "m")
+    return counts.agg(F.countDistinct("path").alias("files"), F.sum("value").alias("total"))
+
+
+QUERIES["braced_closed_forms"] = lambda spark, sf_dir: braced_closed_forms(Views(spark, sf_dir))
+ORACLES["braced_closed_forms"] = made.braced_sql()
+
+
 @query("SELECT metric, measured, violated, rate FROM (SELECT metric, count(*) AS measured, count(*) FILTER (WHERE bad) AS violated, round(count(*) FILTER (WHERE bad) / count(*)::DOUBLE, 6) AS rate FROM (SELECT *, coalesce(value > hi, FALSE) OR coalesce(value < lo, FALSE) AS bad FROM banded) GROUP BY metric) WHERE violated > 0 ORDER BY rate DESC, metric LIMIT 5")
 def brief_report(v: Views) -> DataFrame:
     from . import report

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from . import containers, python_front
+from . import brace_front, containers, python_front
 
 _S, _I, _B = T.StringType(), T.IntegerType(), T.BooleanType()
 
@@ -43,8 +43,8 @@ LEXERS |= {"lua": ("--", "--[[", "]]", r"require\s*\(?[\"']([\w./-]+)"), "ml": (
 
 
 def lex(path: str, lang: str, text: str, is_test: bool, is_script: bool) -> dict:
-    """Facts that need no syntax tree. What a lexer cannot tell is absent, never 0: there are no
-    units, so no unit metric is measured."""
+    """Facts that need no structure. What a lexer cannot tell is absent, never 0: without units no
+    unit metric is measured."""
     line_mark, opening, closing, imports = LEXERS[lang]
     rows = text.split("\n")
     rows = rows[:-1] if rows and rows[-1] == "" else rows
@@ -85,7 +85,10 @@ def facts_of(path: str, lang: str | None, text: str, is_test: bool, is_script: b
         lang, text = inner
     if lang == "py":
         return python_front.extract(path, text, is_test, is_script)
-    return lex(path, lang, text, is_test, is_script) if lang in LEXERS else None
+    if lang not in LEXERS:
+        return None
+    facts = lex(path, lang, text, is_test, is_script)
+    return brace_front.extract(facts, lang, text, is_test) if lang in brace_front.LANGS else facts
 
 
 def extract(sources: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ GLUE = set("a an and are as at be by for from in is it its of on or so that the
 
 COUNTERS = """magic_numbers demeter negations repurposed swallowed broad_catch lost_context casts blocking_calls bool_traps sleep_calls
 unawaited allocs_in_loop wildcard_matches dropped_tasks assert_calls vacuous_asserts self_accesses envy_count cognitive cyclomatic doc_lines
-return_arity max_vis_depth max_expr_depth max_loop_depth max_live_span""".split()
+return_arity max_vis_depth max_expr_depth max_loop_depth max_live_span unwraps""".split()
 
 
 def dotted(node: ast.AST) -> str:

@@ -164,12 +164,14 @@ def test_git_log_is_split_at_its_headers(spark):
 
 
 def test_lexer_measures_no_units(spark):
-    df = spark.createDataFrame([("a.go", "go", '// TODO: x\nimport "fmt"\n\nvar apiKey = "abcdef1234567890abcd"\n', False, False)], "path string, lang string, text string, is_test_file boolean, is_script_file boolean")
+    df = spark.createDataFrame([("a.lua", "lua", '-- TODO: x\nrequire "fmt"\n\napiKey = "abcdef1234567890abcd"\n', False, False)], "path string, lang string, text string, is_test_file boolean, is_script_file boolean")
     facts = extract.extract(df)
     r = facts.first()
     assert (r.lines, r.blank_lines, r.comment_lines, len(r.units), r.imports[0].target) == (4, 1, 1, 0, "fmt")
     seen = {x.metric: x.value for x in measure.measurements(facts).collect()}
     assert "cognitive" not in seen and seen["secrets"] == 1
+    # What a lexer cannot tell has no row, not a row of 0.
+    assert not seen.keys() & {"spooky", "echo comments", "magic strings", "skipped tests", "commented code", "built query", "shelled out"}
 
 
 def test_reports(spark):
@@ -183,10 +185,100 @@ def test_reports(spark):
     assert log["version"] == "2.1.0" and len(log["runs"][0]["results"]) == broke.count()
     assert {r["level"] for r in log["runs"][0]["results"]} <= {"error", "warning", "note"}
     head = report.summary(banded, facts.select("lang", "lines"), metrics)
-    pooled = {r["metric"]: r["violated"] for r in head["metrics"] if r["lang"] is None}
+    pooled = {r["metric"]: r["violated"] for r in head["metrics"] if r["total"]}
     assert sum(pooled.values()) == broke.count()
     assert all(json.loads(r[0])["metric"] for r in report.findings(broke, metrics).collect())
     assert report.brief(banded).count() == 5 and report.explain(banded, "src/b.py", 2).count() > 5
     tsv = report.facts_tsv(facts).collect()
     assert {r.row for r in tsv} == {"file", "ffact", "unit", "call"} and all(r.value != "0" for r in tsv)
     assert report.context(banded, ["length"]).first().n == 11
+
+
+def picked(head, loop, bare=False, before="", after="", both="&&"):
+    left, right = ("", "") if bare else ("(", ")")
+    return (
+        f"{before}{head} {{\n    {loop} {{\n        if {left}item > 0 {both} item < limit{right} {{\n            total += item;\n        }} else if {left}item < 0{right} {{\n"
+        f"            total -= item;\n        }} else {{\n            continue;\n        }}\n    }}\n    return total;\n}}\n{after}"
+    )
+
+
+PICKS = {
+    "ts": picked("export function pick(items: number[], limit: number): number", "for (const item of items)"), "js": picked("const pick = (items, limit) =>", "for (const item of items)"),
+    "rs": picked("pub fn pick(items: Vec<i64>, limit: i64) -> i64", "for item in items", True), "go": picked("func Pick(items []int64, limit int64) int64", "for _, item := range items", True, "package p\n"),
+    "zig": picked("fn pick(items: []const i64, limit: i64) i64", "for (items) |item|", both="and"), "c": picked("long pick(const long *items, long limit)", "for (int i = 0; items[i]; i++)"),
+    "cpp": picked("long pick(const std::vector<long>& items, long limit)", "for (long item : items)"), "java": picked("public long pick(List<Long> items, long limit)", "for (long item : items)", before="class A {\n", after="}\n"),
+    "cs": picked("public long Pick(List<long> items, long limit)", "foreach (var item in items)", before="class A {\n", after="}\n"), "swift": picked("func pick(_ items: [Int], limit: Int) -> Int", "for item in items", True),
+    "scala": picked("def pick(items: Seq[Int], limit: Int): Int =", "for (item <- items)"), "php": picked("function pick($items, $limit)", "foreach ($items as $item)", before="<?php\n"),
+    "sol": picked("function pick(uint[] items, uint limit) public returns (uint)", "for (uint i = 0; i < n; i++)", before="contract A {\n", after="}\n"),
+}
+
+
+def units_of(lang, text, is_test=False):
+    return {u["qualname"]: u for u in extract.facts_of(f"a.{lang}", lang, text, is_test, False)["units"]}
+
+
+def test_one_function_scores_alike_in_every_language_with_braces():
+    for lang, text in PICKS.items():
+        units = units_of(lang, text)
+        u = next(v for k, v in units.items() if k != "<module>")
+        c = u["counts"]
+        assert (c["cognitive"], c["cyclomatic"], c["max_vis_depth"], c["max_loop_depth"], u["lines"]) == (6, 5, 2, 1, 12), lang
+        assert [p["name"] for p in u["params"]] == ["items", "limit"] and len(units) == 2, lang
+
+
+def test_units_of_languages_with_braces():
+    ts = """class Cart {
+  constructor(private readonly items: Item[], flag = false) { this.items = items; }
+  async total(by?: string): Promise<number> { return by ? this.items.map(x => { if (x) { return x; } return 0; }).length : 0; }
+}
+export const open = async (id: string) => { while (id) if (id !== "") id = next(id); };
+interface Shape { area(): number; name(x: string): void }
+"""
+    u = units_of("ts", ts)
+    assert set(u) == {"<module>", "Cart.constructor", "Cart.total", "open"}
+    assert [(p["name"], p["boolish"], p["optional"]) for p in u["Cart.constructor"]["params"]] == [("items", False, False), ("flag", True, True)]
+    assert u["Cart.total"]["counts"]["cyclomatic"] == 3 and u["Cart.total"]["params"][0]["optional"]
+    assert u["open"]["is_public"] and u["open"]["counts"]["max_vis_depth"] == 2 and u["open"]["counts"]["cognitive"] == 3
+    assert extract.facts_of("a.ts", "ts", ts, False, False)["interfaces"] == [{"name": "Shape", "line": 6, "methods": 2}]
+    rs = "struct A;\nimpl A {\n    /// Says.\n    pub fn go<'a>(&self, x: &'a str) -> (u8, u8) {\n        match x { \"a\" => 1, _ => self.b().unwrap() as u8 };\n        (1, 2)\n    }\n}\n"
+    go = units_of("rs", rs)["A.go"]
+    assert (go["counts"]["cyclomatic"], go["counts"]["wildcard_matches"], go["counts"]["unwraps"], go["counts"]["casts"], go["counts"]["return_arity"], go["counts"]["doc_lines"]) == (3, 1, 1, 1, 2, 1)
+    assert [p["name"] for p in go["params"]] == ["x"] and go["is_public"] and go["is_method"]
+    got = units_of("go", "func (s *Srv) Run(a, b int, ok bool) (int, error) {\n    switch a {\n    case 1:\n        return 1, nil\n    default:\n        panic(1)\n    }\n}\n")["Run"]
+    assert [(p["name"], p["type_name"]) for p in got["params"]] == [("a", "int"), ("b", "int"), ("ok", "bool")]
+    assert (got["counts"]["cyclomatic"], got["counts"]["unwraps"], got["counts"]["return_arity"], got["counts"]["wildcard_matches"]) == (2, 1, 2, 1)
+    java = "class A {\n  A(int n) { if (n > 3) do { n--; } while (n > 0 && ok); }\n  int f() { try { g(true, false); } catch (Exception e) { } return x ? 5 : 1; }\n  abstract int h(int a);\n}\n"
+    u = units_of("java", java)
+    assert set(u) == {"<module>", "A.A", "A.f"}
+    assert u["A.A"]["counts"]["cyclomatic"] == 4 and u["A.A"]["counts"]["max_loop_depth"] == 1
+    f = u["A.f"]["counts"]
+    assert (f["swallowed"], f["broad_catch"], f["bool_traps"], f["magic_numbers"], f["cyclomatic"]) == (1, 1, 1, 1, 3)
+    assert units_of("c", "static int f(void);\n#define X(a) {\nint g(int a[N], char *b) { return a[0]; }\n")["g"]["params"][0]["name"] == "a"
+    broken = extract.facts_of("a.go", "go", "func f( {\n", False, False)
+    assert broken["parse_errors"] > 0
+
+
+def test_every_metric_that_a_front_end_tells_has_a_closed_form():
+    from srcprism.plans import made
+
+    assert {m for m, *_ in registry.rows()} - {t[2] for t in made.TARGETS} - {t[0] for t in made.BRACED_TARGETS} == {"conditional hook", "field doc"}
+
+
+def test_ratchet_follows_the_direction_of_a_metric(spark):
+    from srcprism.operators import gates
+
+    metrics = spark.createDataFrame([("up", None, 1.0), ("down", 1.0, None), ("band", 0.1, 0.9)], "metric string, lo double, hi double")
+    row = "metric string, path string, unit string, value double"
+    ledger = spark.createDataFrame([("up", "a", "u", 2.0), ("down", "a", "u", 0.5), ("band", "a", "u", 0.5), ("down", "old", "v", 0.5), ("down", "gone", "v", 0.2), ("up", "a", "n", None)], row)
+    now = [("up", "a", "u", 3.0), ("down", "a", "u", 0.0), ("band", "a", "u", 5.0), ("down", "b", "v", 0.3), ("up", "a", "n", 9.0), ("up", "b", "x", 1.0), ("down", "c", "v", 0.1)]
+    current = spark.createDataFrame(now, row)
+    got = {(r.metric, r.path, r.unit): (r.was, r.why) for r in gates.ratchet(current, ledger, current, metrics).collect()}
+    assert got == {("up", "a", "u"): (2.0, "worse"), ("down", "a", "u"): (0.5, "worse"), ("up", "b", "x"): (None, "new"), ("down", "c", "v"): (0.2, "worse")}
+
+
+def test_totals_keep_a_null_language_apart(spark):
+    from srcprism.operators import aggregate
+
+    df = spark.createDataFrame([("m", None, 2.0), ("m", "py", 0.0)], "metric string, lang string, value double").withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(1.0)})
+    got = sorted(((r.lang, r.total, r.measured, r.violated) for r in aggregate.measured_violated(df).collect()), key=repr)
+    assert got == sorted([(None, 0, 1, 1), ("py", 0, 1, 0), (None, 1, 2, 1)], key=repr)
