@@ -62,7 +62,7 @@ def remove(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared folder, and its path: lineage is cut durably."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
