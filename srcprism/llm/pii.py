@@ -184,26 +184,39 @@ def _corpus(docs: DataFrame) -> DataFrame:
     )
 
 
-def _texts(corpus: DataFrame) -> DataFrame:
-    """One row of each text. Only the ids of the other copies are looked up."""
+def _copies(corpus: DataFrame) -> DataFrame:
+    """(rid) of the rows whose text an earlier row has."""
     first = corpus.groupBy("same").agg(F.min("rid").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = corpus.select("rid", "same").join(first, "same").where("rid <> first").select("rid")
-    return corpus.join(common.cut(copies), "rid", "left_anti")
+    return common.cut(corpus.select("rid", "same").join(first, "same").where("rid <> first").select("rid"))
 
 
-def disclosing(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entity, term, told): words that disclose an entity; (entity, n_e): the entities considered.
+def _held(corpus: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rid, words, entities) of the rows with entities, as far as these are considered; (entity,
+    n_e): those, with the texts that hold them.
 
     An entity is a value or a whole kind. A value that one text holds has nothing to be measured
     by but its kind, so values of at least two texts are paired with words.
     """
-    held = texts.where(F.size("found") > 0)
-    values = held.select(F.explode(_entities(F.col("found"), False)).alias("entity"))
-    kinds = held.select(F.explode(_entities(F.col("found"), True)).alias("entity"))
-    known = common.cut(values.union(kinds).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= LEAST))
-    joint = _pairs(held, known).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= LEAST)
+    rows = corpus.where(F.size("found") > 0)
+    named = rows.select("rid", F.explode(F.concat(_entities(F.col("found"), False), _entities(F.col("found"), True))).alias("entity"))
+    named = common.cut(named)
+    known = named.join(copies, "rid", "left_anti").groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= LEAST)
+    known = common.cut(known)
+    own = named.join(known.select("entity"), "entity").groupBy("rid").agg(F.collect_list("entity").alias("entities"))
+    return common.cut(rows.select("rid", "words").join(own, "rid")), known
+
+
+def _pairs(held: DataFrame) -> DataFrame:
+    """(rid, entity, term): the words of each row with its entities."""
+    return held.select("rid", "words", F.explode("entities").alias("entity")).select("rid", "entity", F.explode("words").alias("term"))
+
+
+def disclosing(corpus: DataFrame, copies: DataFrame, held: DataFrame, known: DataFrame) -> DataFrame:
+    """(entity, term, told): words that disclose an entity, counted over different texts."""
+    joint = _pairs(held.join(copies, "rid", "left_anti")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= LEAST)
     joint = common.cut(joint)
     # Counted before the join: what is shuffled and joined is distinct words, not their uses.
+    texts = corpus.join(copies, "rid", "left_anti")
     counts = texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = F.lit(float(texts.count()))
     measured = joint.join(counts, "term").join(known, "entity")
@@ -211,15 +224,7 @@ def disclosing(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = bits / F.log2(total / F.col("n_e"))
     # An entity that all texts hold has no content to tell.
     enough = (F.col("n_e") < total) & ((F.col("n_te") - 1) * bits >= EVIDENCE) & (told >= TOLD)
-    return measured.where(enough).select("entity", "term", told.alias("told")), known
-
-
-def _pairs(held: DataFrame, known: DataFrame) -> DataFrame:
-    """(rid, entity, term): the words of each row with its entities, as far as they are known."""
-    named = held.select("rid", F.explode(F.concat(_entities(F.col("found"), False), _entities(F.col("found"), True))).alias("entity"))
-    named = named.join(known.select("entity"), "entity")
-    words = held.select("rid", F.explode("words").alias("term"))
-    return words.join(named, "rid")
+    return measured.where(enough).select("entity", "term", told.alias("told"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -228,10 +233,10 @@ def find(docs: DataFrame) -> DataFrame:
     text is null where there is no base span, and so no term.
     """
     corpus = _corpus(docs)
-    told, known = disclosing(_texts(corpus))
-    told = common.cut(told)
-    held = corpus.where(F.size("found") > 0)
-    hits = _pairs(held, known).join(told, ["entity", "term"]).groupBy("rid", "term").agg(F.max("told").alias("told"))
+    copies = _copies(corpus)
+    held, known = _held(corpus, copies)
+    told = common.cut(disclosing(corpus, copies, held, known))
+    hits = _pairs(held).join(told, ["entity", "term"]).groupBy("rid", "term").agg(F.max("told").alias("told"))
     # A document's own words only: their number is bounded by its length.
     shares = hits.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("term", "told"))).alias("tells"))
     apart = lambda w: ~F.exists("found", lambda f: (f["start"] < w["end"]) & (w["start"] < f["end"]))
@@ -241,7 +246,9 @@ def find(docs: DataFrame) -> DataFrame:
     spans = F.transform(spans, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), part(w).alias("told")))
     empty = F.array().cast("array<struct<start:int,end:int,told:double>>")
     terms = F.when(F.col("tells").isNotNull(), spans).otherwise(empty)
-    return corpus.join(shares, "rid", "left").select("doc_id", "found", terms.alias("terms"), "text")
+    # Rows without a span need no look-up: they are not moved.
+    some = corpus.where(F.size("found") > 0).join(shares, "rid", "left").select("doc_id", "found", terms.alias("terms"), "text")
+    return some.unionByName(corpus.where(F.size("found") == 0).select("doc_id", "found", empty.alias("terms"), "text"))
 
 
 def sanitised() -> Column:
