@@ -517,6 +517,48 @@ def deletable(v: Views) -> DataFrame:
     return G.deletable(v.names(), G.blast_radius(v.names(), v.edges()))
 
 
+#: Files of a made project, and imports among them: source, target, where it leads, kind.
+_PROJECT = {
+    "py": ["pkg{k}/__init__.py", "pkg{k}/a.py", "pkg{k}/types.py", "pkg{k}/sub/__init__.py", "pkg{k}/sub/b.py", "plain/tool{k}.py"], "ts": ["web/x.ts", "web/lib/index.ts", "web/y.tsx"],
+    "rs": ["src/lib.rs", "src/a/mod.rs", "src/a/b.rs", "src/c.rs"], "go": ["go/util/u.go", "go/main.go"], "java": ["jv/com/x{k}/Foo.java", "jv/com/x{k}/Bar.java"],
+}
+_IMPORTS = [
+    ("py", "pkg{k}/a.py", ".types", "pkg{k}/types.py", "internal"), ("py", "pkg{k}/a.py", "types", None, "external"), ("py", "pkg{k}/a.py", "pkg{k}.sub.b", "pkg{k}/sub/b.py", "internal"),
+    ("py", "pkg{k}/sub/b.py", "..a", "pkg{k}/a.py", "internal"), ("py", "pkg{k}/sub/b.py", ".", "pkg{k}/sub/__init__.py", "internal"), ("py", "pkg{k}/sub/b.py", ".gone", None, "unresolved"),
+    ("py", "pkg{k}/sub/b.py", "sub.b", None, "external"), ("py", "pkg{k}/a.py", "plain.tool{k}", "plain/tool{k}.py", "internal"), ("py", "pkg{k}/a.py", "pkg{k}", "pkg{k}/__init__.py", "internal"),
+    ("ts", "web/x.ts", "./lib", "web/lib/index.ts", "internal"), ("ts", "web/lib/index.ts", "../y", "web/y.tsx", "internal"), ("ts", "web/x.ts", "react", None, "external"),
+    ("ts", "web/x.ts", "./none", None, "unresolved"), ("rs", "src/lib.rs", "crate::a::b::Thing", "src/a/b.rs", "internal"), ("rs", "src/a/b.rs", "super::c", "src/a/mod.rs", "internal"),
+    ("rs", "src/a/mod.rs", "self::b", "src/a/b.rs", "internal"), ("rs", "src/c.rs", "std::fs", None, "external"), ("rs", "src/c.rs", "crate::Root", "src/lib.rs", "internal"),
+    ("rs", "src/c.rs", "serde::Serialize", None, "external"), ("rs", "src/a/b.rs", "crate::c::*", "src/c.rs", "internal"), ("go", "go/main.go", "example.com/r{k}/go/util", "go/util/u.go", "internal"),
+    ("go", "go/main.go", "fmt", None, "external"), ("java", "jv/com/x{k}/Foo.java", "com.x{k}.Bar", "jv/com/x{k}/Bar.java", "internal"),
+    ("java", "jv/com/x{k}/Foo.java", "com.x{k}.Bar.Inner", "jv/com/x{k}/Bar.java", "internal"), ("java", "jv/com/x{k}/Foo.java", "java.util.List", None, "external"),
+]
+
+
+def _filled(text: str | None, sep: str) -> str:
+    return "NULL" if text is None else " || ".join(f"'{x}'" for x in (sep + text).split("{k}")).replace(" || ", " || s_suppkey || ")
+
+
+def import_resolution(v: Views) -> DataFrame:
+    """Imports of made projects, one a supplier, in five languages."""
+    from ..operators import resolve as S
+
+    made_of = lambda text: F.expr(_filled(text, "").replace(" || s_suppkey || ", " || cast(s_suppkey as string) || "))
+    below = lambda text: F.concat(F.lit("r"), F.col("s_suppkey").cast("string"), F.lit("/"), made_of(text))
+    s = v.table("supplier").select("s_suppkey")
+    files = F.array(*[F.struct(below(f).alias("path"), F.lit(lang).alias("lang")) for lang, fs in _PROJECT.items() for f in fs])
+    rows = F.array(*[F.struct(below(src).alias("src"), F.lit(i).alias("ord"), F.lit(lang).alias("lang"), made_of(target).alias("target")) for i, (lang, src, target, *_) in enumerate(_IMPORTS)])
+    modules = s.select(F.explode(files).alias("f")).select("f.*")
+    return longs(S.resolve(s.select(F.explode(rows).alias("i")).select("i.*"), modules))
+
+
+QUERIES["import_resolution"] = lambda spark, sf_dir: import_resolution(Views(spark, sf_dir))
+ORACLES["import_resolution"] = " UNION ALL ".join(
+    f"SELECT 'r' || s_suppkey || {_filled(src, '/')} AS src, {i}::BIGINT AS ord, {_filled(target, '')} AS target, {'NULL' if dst is None else f"'r' || s_suppkey || {_filled(dst, '/')}"} AS dst, '{kind}' AS kind FROM supplier"
+    for i, (_, src, target, dst, kind) in enumerate(_IMPORTS)
+)
+
+
 @query("SELECT path FROM names WHERE path NOT IN (SELECT dst FROM edges)")
 def orphans(v: Views) -> DataFrame:
     return G.orphans(v.names(), v.edges())

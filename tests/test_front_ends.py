@@ -282,3 +282,32 @@ def test_totals_keep_a_null_language_apart(spark):
     df = spark.createDataFrame([("m", None, 2.0), ("m", "py", 0.0)], "metric string, lang string, value double").withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(1.0)})
     got = sorted(((r.lang, r.total, r.measured, r.violated) for r in aggregate.measured_violated(df).collect()), key=repr)
     assert got == sorted([(None, 0, 1, 1), ("py", 0, 1, 0), (None, 1, 2, 1)], key=repr)
+
+
+def test_state_round_trips(spark, tmp_path):
+    from srcprism.sources import state
+
+    pins = state.calibration(spark, '[py]\n"length" = { hi = 76.0 }\n"comment ratio" = { lo = 0.0, hi = 0.47 }\n[go]\n"params" = { hi = 4 }\n')
+    assert sorted(map(tuple, state.calibration(spark, state.calibration_text(pins)).collect())) == sorted(map(tuple, pins.collect()))
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "srcprism.toml").write_text('[budgets]\n"length" = { hi = 90 }\n')
+    (tmp_path / "a" / "b" / "srcprism.toml").write_text('[budgets]\n"params" = { hi = 9 }\n')
+    over = state.configured(spark, str(tmp_path))
+    assert sorted((r.scope, r.metric, r.lo, r.hi) for r in over.collect()) == [("", "length", None, 90.0), ("a/b", "params", None, 9.0)]
+    bands = {(r.scope, r.lang, r.metric): (r.lo, r.hi) for r in state.layered(registry.metrics(spark), pins, over).collect()}
+    assert bands["", "py", "length"] == (None, 90.0) and bands["", "go", "params"] == (None, 4.0) and bands["a/b", "go", "params"] == (None, 9.0)
+    assert bands["", "py", "comment ratio"] == (0.0, 0.47) and bands["", None, "params"] == (None, 5.0)
+    (tmp_path / "srcprism.toml").write_text('[budgets]\n"lenght" = { hi = 90 }\n')
+    try:
+        state.configured(spark, str(tmp_path))
+        raise AssertionError("an unknown metric was let through")
+    except ValueError as e:
+        assert "lenght" in str(e)
+    ledger = spark.createDataFrame([("length", "a.py", "f", 70.0), ("params", "b.py", "", None)], state.LEDGER)
+    state.write_ledger(ledger, str(tmp_path / "ledger"))
+    assert sorted(map(tuple, state.read_ledger(spark, str(tmp_path / "ledger")).collect())) == sorted(map(tuple, ledger.collect()))
+    for n in (3, 2):
+        state.record(spark.createDataFrame([("c", "main", 1, 2, 3, n, 1, 0.5, {"length": n})], state.RUN), str(tmp_path / "runs"))
+    (tmp_path / "runs" / "part-broken.json").write_text("{not json\n")
+    runs, broken = state.history(spark, str(tmp_path / "runs"))
+    assert sorted(r.gates for r in runs.collect()) == [2, 3] and broken.count() == 1
