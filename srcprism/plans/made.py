@@ -1,6 +1,6 @@
 """Python sources made from two small numbers a row, whose measurements have closed forms.
 
-Each part gives four files by n = p_size % 4 and m = p_partkey % 5. ``TARGETS`` names, for each
+Each supplier gives four files by n = s_suppkey % 4 and m = s_suppkey % 5. ``TARGETS`` names, for each
 metric, the file and unit that shows it and the value it must have: the same arithmetic in SQL.
 """
 
@@ -140,8 +140,8 @@ BRACED_TARGETS = [
 ]
 
 
-def braced(parts: DataFrame) -> DataFrame:
-    """One small file a part and language with braces, in the columns of ``sources``."""
+def braced(rows: DataFrame) -> DataFrame:
+    """One small file a supplier and language with braces, in the columns of ``sources``."""
     n, m = _numbers()
     files = []
     for lang, (head, before, after, opened, closed, condition, number, own) in BRACED.items():
@@ -149,28 +149,28 @@ def braced(parts: DataFrame) -> DataFrame:
         ends = F.array_join(F.transform(F.sequence(F.lit(1), n + 1), lambda k: F.concat(F.repeat(F.lit("    "), n + 2 - k), F.lit("}\n"))), "")
         text = _text(head, _list(m, before, after), f"{opened}\n", _nested(n + 1, condition), ends, *lines, f"{closed}\n")
         files.append(F.struct(F.lit(lang).alias("kind"), text.alias("text")))
-    rows = parts.select("p_partkey", (F.col("p_size") % 4).cast("int").alias("n"), (F.col("p_partkey") % 5).cast("int").alias("m"))
-    rows = rows.select("p_partkey", "n", "m", F.explode(F.array(*files)).alias("f"))
-    path = F.concat_ws("/", "f.kind", F.concat_ws("_", "n", "m"), F.concat_ws(".", "p_partkey", "f.kind"))
+    rows = rows.select("s_suppkey", (F.col("s_suppkey") % 4).cast("int").alias("n"), (F.col("s_suppkey") % 5).cast("int").alias("m"))
+    rows = rows.select("s_suppkey", "n", "m", F.explode(F.array(*files)).alias("f"))
+    path = F.concat_ws("/", "f.kind", F.concat_ws("_", "n", "m"), F.concat_ws(".", "s_suppkey", "f.kind"))
     return rows.select(path.alias("path"), F.col("f.kind").alias("lang"), "f.text", F.lit(False).alias("is_test_file"), F.lit(False).alias("is_script_file"))
 
 
 def braced_sql() -> str:
     each = [f"SELECT '{lang}' AS lang, '{metric}' AS metric, n, m, files, (files * ({value}))::DOUBLE AS total FROM p" for metric, langs, value in BRACED_TARGETS for lang in langs.split()]
-    return f"""WITH p AS (SELECT (p_size % 4)::BIGINT AS n, (p_partkey % 5)::BIGINT AS m, count(*) AS files FROM part GROUP BY ALL) {" UNION ALL ".join(each)}"""
+    return f"""WITH p AS (SELECT (s_suppkey % 4)::BIGINT AS n, (s_suppkey % 5)::BIGINT AS m, count(*) AS files FROM supplier GROUP BY ALL) {" UNION ALL ".join(each)}"""
 
 
-def sources(parts: DataFrame) -> DataFrame:
-    """(path, lang, text, is_test_file, is_script_file) of all files of (p_partkey, p_size)."""
-    rows = parts.select("p_partkey", (F.col("p_size") % 4).cast("int").alias("n"), (F.col("p_partkey") % 5).cast("int").alias("m"))
-    # One pass over the parts: an array of files a row.
+def sources(rows: DataFrame) -> DataFrame:
+    """(path, lang, text, is_test_file, is_script_file) of all files of (s_suppkey)."""
+    rows = rows.select("s_suppkey", (F.col("s_suppkey") % 4).cast("int").alias("n"), (F.col("s_suppkey") % 5).cast("int").alias("m"))
+    # One pass over the suppliers: an array of files a row.
     files = F.array(*[F.struct(F.lit(kind).alias("kind"), make().alias("text")) for kind, make in FILES.items()])
-    path = F.concat_ws("/", "f.kind", F.concat_ws("_", "n", "m"), F.concat("p_partkey", F.lit(".py")))
-    rows = rows.select("p_partkey", "n", "m", F.explode(files).alias("f"))
+    path = F.concat_ws("/", "f.kind", F.concat_ws("_", "n", "m"), F.concat("s_suppkey", F.lit(".py")))
+    rows = rows.select("s_suppkey", "n", "m", F.explode(files).alias("f"))
     return rows.select(path.alias("path"), F.lit("py").alias("lang"), "f.text", (F.col("f.kind") == "test").alias("is_test_file"), F.lit(False).alias("is_script_file"))
 
 
 def totals_sql() -> str:
     each = [f"SELECT '{f}' AS file, '{u}' AS unit, '{metric}' AS metric, n, m, files, round((files * ({value}))::DOUBLE, 4) AS total FROM p" for f, u, metric, value in TARGETS]
-    return f"""WITH p AS (SELECT (p_size % 4)::BIGINT AS n, (p_partkey % 5)::BIGINT AS m, count(*) AS files FROM part GROUP BY ALL),
+    return f"""WITH p AS (SELECT (s_suppkey % 4)::BIGINT AS n, (s_suppkey % 5)::BIGINT AS m, count(*) AS files FROM supplier GROUP BY ALL),
         x AS ({" UNION ALL ".join(each)}) SELECT * FROM x WHERE total IS NOT NULL"""

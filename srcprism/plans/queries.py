@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import aggregate as A
 from ..operators import budgets as B
+from ..operators import durable
 from ..operators import evolve as E
 from ..operators import gates as C
 from ..operators import graph as G
@@ -745,6 +746,11 @@ def scan_sources(v: Views) -> DataFrame:
     return X.extract(rows).groupBy("lang").agg(F.count("*").alias("files"), F.sum("lines").cast("long").alias("lines"))
 
 
+def _spread(v: Views, sources: DataFrame) -> DataFrame:
+    """Parsing costs far more than moving: every core gets files, however few bytes they are."""
+    return sources.repartition(2 * v.spark.sparkContext.defaultParallelism, "path")
+
+
 def metric_closed_forms(v: Views) -> DataFrame:
     """Measurements of made sources: totals per target and pair of numbers that made the file."""
     from ..operators import measure
@@ -753,7 +759,7 @@ def metric_closed_forms(v: Views) -> DataFrame:
     at = F.split("path", "/")
     made_by = F.split(F.get(at, F.lit(1)), "_")
     targets = v.spark.createDataFrame([t[:3] for t in made.TARGETS], "file string, unit string, metric string")
-    rows = measure.measurements(X.extract(made.sources(v.table("part"))))
+    rows = measure.measurements(durable.cut(X.extract(_spread(v, made.sources(v.table("supplier"))))))
     rows = rows.withColumns({"file": F.get(at, F.lit(0)), "n": F.get(made_by, F.lit(0)).cast("long"), "m": F.get(made_by, F.lit(1)).cast("long")})
     counts = rows.join(F.broadcast(targets), ["file", "unit", "metric"]).groupBy("file", "unit", "metric", "n", "m")
     return counts.agg(F.countDistinct("path").alias("files"), F.round(F.sum(F.round("value", 6)), 4).alias("total"))
@@ -770,7 +776,7 @@ def braced_closed_forms(v: Views) -> DataFrame:
 
     made_by = F.split(F.get(F.split("path", "/"), F.lit(1)), "_")
     targets = v.spark.createDataFrame([(lang, t[0]) for t in made.BRACED_TARGETS for lang in t[1].split()], "lang string, metric string")
-    rows = measure.unit_measures(X.extract(made.braced(v.table("part")))).where("unit <> '<module>'")
+    rows = measure.unit_measures(X.extract(_spread(v, made.braced(v.table("supplier"))))).where("unit <> '<module>'")
     rows = rows.withColumns({"n": F.get(made_by, F.lit(0)).cast("long"), "m": F.get(made_by, F.lit(1)).cast("long")})
     counts = rows.join(F.broadcast(targets), ["lang", "metric"]).groupBy("lang", "metric", "n", "m")
     return counts.agg(F.countDistinct("path").alias("files"), F.sum("value").alias("total"))
