@@ -197,19 +197,19 @@ def test_reports(spark):
 def picked(head, loop, bare=False, before="", after="", both="&&"):
     left, right = ("", "") if bare else ("(", ")")
     return (
-        f"{before}{head} {{\n    {loop} {{\n        if {left}item > 0 {both} item < limit{right} {{\n            total += item;\n        }} else if {left}item < 0{right} {{\n"
-        f"            total -= item;\n        }} else {{\n            continue;\n        }}\n    }}\n    return total;\n}}\n{after}"
+        f"{before}{head} {{\n    {loop} {{\n        if {left}row < most {both} row > 1{right} {{\n            keep(row);\n        }} else if {left}row > most{right} {{\n"
+        f"            lose(row);\n        }} else {{\n            break;\n        }}\n    }}\n    return kept;\n}}\n{after}"
     )
 
 
 PICKS = {
-    "ts": picked("export function pick(items: number[], limit: number): number", "for (const item of items)"), "js": picked("const pick = (items, limit) =>", "for (const item of items)"),
-    "rs": picked("pub fn pick(items: Vec<i64>, limit: i64) -> i64", "for item in items", True), "go": picked("func Pick(items []int64, limit int64) int64", "for _, item := range items", True, "package p\n"),
-    "zig": picked("fn pick(items: []const i64, limit: i64) i64", "for (items) |item|", both="and"), "c": picked("long pick(const long *items, long limit)", "for (int i = 0; items[i]; i++)"),
-    "cpp": picked("long pick(const std::vector<long>& items, long limit)", "for (long item : items)"), "java": picked("public long pick(List<Long> items, long limit)", "for (long item : items)", before="class A {\n", after="}\n"),
-    "cs": picked("public long Pick(List<long> items, long limit)", "foreach (var item in items)", before="class A {\n", after="}\n"), "swift": picked("func pick(_ items: [Int], limit: Int) -> Int", "for item in items", True),
-    "scala": picked("def pick(items: Seq[Int], limit: Int): Int =", "for (item <- items)"), "php": picked("function pick($items, $limit)", "foreach ($items as $item)", before="<?php\n"),
-    "sol": picked("function pick(uint[] items, uint limit) public returns (uint)", "for (uint i = 0; i < n; i++)", before="contract A {\n", after="}\n"),
+    "ts": picked("export function pick(rows: number[], most: number): number", "for (const row of rows)"), "js": picked("const pick = (rows, most) =>", "for (const row of rows)"),
+    "rs": picked("pub fn pick(rows: Vec<i64>, most: i64) -> i64", "for row in rows", True), "go": picked("func Pick(rows []int64, most int64) int64", "for _, row := range rows", True, "package p\n"),
+    "zig": picked("fn pick(rows: []const i64, most: i64) i64", "for (rows) |row|", both="and"), "c": picked("long pick(const long *rows, long most)", "for (int i = 0; rows[i]; i++)"),
+    "cpp": picked("long pick(const std::vector<long>& rows, long most)", "for (long row : rows)"), "java": picked("public long pick(List<Long> rows, long most)", "for (long row : rows)", before="class A {\n", after="}\n"),
+    "cs": picked("public long Pick(List<long> rows, long most)", "foreach (var row in rows)", before="class A {\n", after="}\n"), "swift": picked("func pick(_ rows: [Int], most: Int) -> Int", "for row in rows", True),
+    "scala": picked("def pick(rows: Seq[Int], most: Int): Int =", "for (row <- rows)"), "php": picked("function pick($rows, $most)", "foreach ($rows as $row)", before="<?php\n"),
+    "sol": picked("function pick(uint[] rows, uint most) public returns (uint)", "for (uint i = 0; i < n; i++)", before="contract A {\n", after="}\n"),
 }
 
 
@@ -218,12 +218,12 @@ def units_of(lang, text, is_test=False):
 
 
 def test_one_function_scores_alike_in_every_language_with_braces():
-    for lang, text in PICKS.items():
+    for lang, text in PICKS.rows():
         units = units_of(lang, text)
-        u = next(v for k, v in units.items() if k != "<module>")
+        u = next(v for k, v in units.rows() if k != "<module>")
         c = u["counts"]
         assert (c["cognitive"], c["cyclomatic"], c["max_vis_depth"], c["max_loop_depth"], u["lines"]) == (6, 5, 2, 1, 12), lang
-        assert [p["name"] for p in u["params"]] == ["items", "limit"] and len(units) == 2, lang
+        assert [p["name"] for p in u["params"]] == ["rows", "most"] and len(units) == 2, lang
 
 
 def test_units_of_languages_with_braces():
