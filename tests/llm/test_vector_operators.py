@@ -133,3 +133,29 @@ def test_short_queries_are_answered_in_blocks(spark, monkeypatch):
         s = (x * x[i]).sum(axis=1)
         want = [j for j in np.argsort(-s, kind="stable") if j != i][:5]
         assert [got[i, k] for k in range(1, 6)] == want
+
+
+def test_vectors_without_structure_are_not_copied_to_every_list(spark, monkeypatch):
+    monkeypatch.setattr(pq, "LIST_SIZE", 32)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((300, 64))
+    y -= (y * x[:300]).sum(axis=1)[:, None] * x[:300]
+    y = 0.905 * x[:300] + np.sqrt(1 - 0.905**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    x = np.concatenate([x, y]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    shuffled = lambda: sum(e.totalShuffleWrite() for e in iterate(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    before = shuffled()
+    got = pq.near_duplicates(df).collect()
+    assert shuffled() - before < 8 * x.nbytes
+    want = {i for i in range(300) if float(x[i].astype(float) @ x[3000 + i] / np.linalg.norm(x[i]) / np.linalg.norm(x[3000 + i])) >= 0.9}
+    linked = {r.vec_id for r in got if r.n_links}
+    assert linked <= {*want, *(3000 + i for i in want)}
+    assert sum(r.n_links for r in got) >= 0.9 * 2 * len(want) > 0
+
+
+def iterate(seq):
+    at = seq.iterator()
+    while at.hasNext():
+        yield at.next()
