@@ -1,12 +1,15 @@
 """Near copies by the Jaccard similarity of word shingles, verified exactly.
 
-Texts whose sets of ``N``-word shingles are equal are one set. Sets meet where ``ROWS`` min-hashes
+Texts whose sets of ``N``-word shingles are equal are one set. Sets meet where the SimHash index
+links their fingerprints (``near`` of ``classes``), and, as sets at the bound differ in more bits
+than a 64-bit ring can tell from chance, where ``ROWS`` min-hashes
 of one of ``BANDS`` bands agree; of two sets at the bound ``LEAST`` a band agrees with probability
 0.8^4, so all ``BANDS`` miss with probability 3e-6. Sizes and one bit of each min-hash rule out
 what is far off (a pair at the bound passes ``FAR`` with probability 1 - 1e-8), and the texts of
 each pair that is left are compared shingle by shingle.
 
-First each set is compared with the nearest of the smallest sets of its bands. That joins dense
+First each set is compared with the one that the SimHash index links it to, and with the nearest
+of the smallest sets of its bands. That joins dense
 groups with one comparison a set. Then bands that still hold several components are dealt into
 blocks of bounded size. Sizes and bits tell which sets of a block have a partner there; these
 sets alone are brought to it, and all their pairs are compared, each in the first band that
@@ -74,19 +77,29 @@ def minhashes(found: np.ndarray) -> np.ndarray:
     return least
 
 
+def majority(found: np.ndarray) -> int:
+    """The SimHash of a set of hashes: a bit is 1 if it is in over half of them."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(found), 1 << 16):
+        some = found[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<u8")[0])
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, t: a hash of the text, h: of its set, size, s0, s1: low bits, keys: of its bands).
+    """(rid, doc_id, t: a hash of the text, h: of its set, size, s0, s1: low bits, fp: its SimHash, keys: of its bands).
 
     ``docs`` has a row id, rid, that no two rows share.
     """
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ident, sizes, bits, keys = [], [], [], []
+        ident, sizes, bits, prints, keys = [], [], [], [], []
         for text in batch.column(3).to_pylist():
             found = shingles(text)
             low = minhashes(found)
             ident.append(xxh64_intdigest(found.tobytes(), SEED))
             sizes.append(len(found))
+            prints.append(majority(found))
             # The lowest bits of products are poor; bit 40 is mixed.
             bits.append(np.packbits((low >> np.uint64(40) & np.uint64(1)).astype(bool)).view(np.int64))
             bands = low[: BANDS * ROWS].reshape(BANDS, ROWS)
@@ -94,11 +107,11 @@ def signatures(docs: DataFrame) -> DataFrame:
         flat = np.array(keys, dtype=np.uint64).view(np.int64).ravel()
         listed = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32), pa.array(flat))
         two = np.array(bits)
-        columns = [*batch.columns[:3], pa.array(np.array(ident, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(two[:, 0]), pa.array(two[:, 1]), listed]
-        return pa.record_batch(columns, names=["rid", "doc_id", "t", "h", "size", "s0", "s1", "keys"])
+        columns = [*batch.columns[:3], pa.array(np.array(ident, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(np.array(prints, np.uint64).view(np.int64)), listed]
+        return pa.record_batch(columns, names=["rid", "doc_id", "t", "h", "size", "s0", "s1", "fp", "keys"])
 
     rows = docs.select("rid", F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text")
-    return common.map_batches(rows, each, "rid long, doc_id long, t long, h long, size int, s0 long, s1 long, keys array<long>")
+    return common.map_batches(rows, each, "rid long, doc_id long, t long, h long, size int, s0 long, s1 long, fp long, keys array<long>")
 
 
 def _far(s0: Column, s1: Column, z0: Column, z1: Column) -> Column:
@@ -226,6 +239,14 @@ def _linked(table: pa.Table) -> dict[str, np.ndarray]:
     return {"u": u, "v": v}
 
 
+def _possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs that sizes and bits do not rule out."""
+    side = lambda x: reps.select(F.col("h").alias(x), *[F.col(c).alias(x + c) for c in ("size", "s0", "s1")])
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    near = _far(F.col("us0"), F.col("us1"), F.col("vs0"), F.col("vs1")) <= FAR
+    return both.where(near & _sized(F.col("usize"), F.col("vsize"))).select("u", "v")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose texts are similar, shingle by shingle. Only their texts are moved."""
     pairs = common.cut(pairs)
@@ -247,17 +268,19 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return common.cut(common.map_batches(sides, each, "u long, v long"))
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, near: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """The rows (rid, doc_id, h) and, for each set of shingles h: n, its rows, and ``first``.
 
     first (unnamed, doc_id, rid) is the least row reachable by similar texts: that with the
-    smallest doc_id, of equal ones that read first; rows without doc_id come last.
+    smallest doc_id, of equal ones that read first; rows without doc_id come last. ``near`` gives
+    candidates (u, v) among sets (h, fp: SimHash); they are verified like all others.
     """
     prints = common.cut(signatures(docs))
-    one = F.min(F.struct("t", "size", "s0", "s1", "keys")).alias("x")
+    one = F.min(F.struct("t", "size", "s0", "s1", "fp", "keys")).alias("x")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("first")
     reps = common.cut(prints.groupBy("h").agg(first, F.count("*").alias("n"), one).select("h", "first", "n", "x.*"))
-    linked = _verified(_nearest(reps), reps, docs)
+    candidates = _possible(near(reps.select("h", "fp")), reps).union(_nearest(reps)).distinct()
+    linked = _verified(candidates, reps, docs)
     linked = linked.union(_apart(reps, common.components(linked), docs))
     grouped = reps.select("h", "first").join(common.components(linked), F.col("h") == F.col("node"))
     least = grouped.groupBy("root").agg(F.min("first").alias("least"))
@@ -266,8 +289,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prints.select("rid", "doc_id", "h"), table
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(doc_id, component_id): component_id is the smallest doc_id reachable by similar texts."""
-    rows, table = classes(common.cut(docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())))
+    rows, table = classes(common.cut(docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())), near)
     found = common.looked_up(rows, table.select("h", "first.doc_id").withColumnRenamed("doc_id", "component_id"), ["h"], table.select("h", "n"), "rid")
     return found.select("doc_id", "component_id")

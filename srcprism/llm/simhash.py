@@ -176,6 +176,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE, dep
     return common.looked_up(prints, table, ["fp"], reps.select("fp", "n"), "doc_id").select("doc_id", "fp", "component_id")
 
 
+def met(sets: DataFrame, radius: int = RADIUS, depth: int | None = None) -> DataFrame:
+    """(u, v): candidates among sets (h, fp), from the links of their fingerprints.
+
+    Sets of one fingerprint meet the smallest of them, which stands for them in the index.
+    """
+    prints = common.cut(sets.groupBy("fp").agg(F.min("h").alias("hub"), F.count("*").alias("n")))
+    if depth is None:
+        depth = 1 if prints.count() < DEEP_FROM else 2
+    hubs = prints.select("fp", "hub")
+    linked = links(prints.select("fp"), radius, depth).distinct()
+    across = linked.join(hubs.toDF("u", "a"), "u").join(hubs.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    within = common.looked_up(sets, hubs, ["fp"], prints.select("fp", "n"), "h").where("h <> hub")
+    return across.union(within.select(F.col("h").alias("u"), F.col("hub").alias("v")))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row of each component of near copies stays, the others go.
 
@@ -185,15 +200,16 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     are returned as they came. Only the row ids that go are looked up, so texts move only if
     those are too many to broadcast.
 
-    Near duplicates share 0.8 of their 5-word shingles. Fingerprints of such texts differ in about
-    nine bits and often in more, which the segments of a 64-bit ring cannot tell from chance, so
-    the stage verifies shingles and does not use the radius of the query.
+    Near duplicates share 0.8 of their 5-word shingles. The pigeonring index links the fingerprints
+    of these shingles; each link is verified shingle by shingle. Fingerprints of texts at the bound
+    differ in about nine bits and often in more, which the segments of a 64-bit ring cannot tell
+    from chance: such texts meet by min-hashes as well and are verified alike.
     """
     rid = "rid"
     while rid in map(str.lower, docs.columns):
         rid = f"_{rid}"
     rows = common.cut(docs.withColumn(rid, F.monotonically_increasing_id()))
-    found, table = shingles.classes(rows.select(F.col(rid).alias("rid"), F.col("doc_id"), F.col("text")))
+    found, table = shingles.classes(rows.select(F.col(rid).alias("rid"), F.col("doc_id"), F.col("text")), met)
     # A class's first row is its own if no similar class has a smaller one.
     gone = common.cut(found.select("rid").join(table.select("first.rid").distinct(), "rid", "left_anti"))
     return rows.join(gone.withColumnRenamed("rid", rid), rid, "left_anti").select(*docs.columns)

@@ -12,11 +12,12 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from srcprism.llm import bpe, langid, licenses, packing, pii, queries, secrets, sharding, simhash
+from srcprism.llm import bpe, langid, licenses, packing, pii, queries, secrets, sharding, shingles, simhash
 
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType())]
@@ -608,3 +609,28 @@ def test_packing_of_a_partition_leaves_one_short_bin(spark, monkeypatch):
         sizes[r.sequence_id] += r.length
     short = [n for n in sizes.values() if n < 2048]
     assert len(short) <= 11 and sum(short) < 2048 and all(n & (n - 1) == 0 for n in short)
+
+
+def test_near_duplicate_stage_links_by_the_simhash_index(spark, monkeypatch):
+    nothing = lambda *_: spark.createDataFrame([], "u long, v long")
+    monkeypatch.setattr(shingles, "_nearest", nothing)
+    monkeypatch.setattr(shingles, "_apart", nothing)
+    rng = random.Random(21)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(1500)]
+    texts = [words, [*words[:700], "changed", *words[701:]], [f"x{rng.randint(0, 10**6)}" for _ in range(1500)], words[:3], words[:3], []]
+    found = [shingles.shingles(" ".join(t)) for t in texts]
+    for x in found:
+        bits = [2 * sum(int(h) >> b & 1 for h in x) > len(x) for b in range(64)]
+        assert shingles.majority(x) == sum(1 << b for b, one in enumerate(bits) if one)
+    assert 0 < (shingles.majority(found[0]) ^ shingles.majority(found[1])).bit_count() <= simhash.RADIUS
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.stage(spark, df, "").collect()} == {0, 2, 3, 5}
+
+
+def test_links_of_the_simhash_index_are_verified(spark, monkeypatch):
+    # Every set has the same fingerprint here: the index links all, the shingles only the copies.
+    met = simhash.met
+    monkeypatch.setattr(simhash, "met", lambda sets: met(sets.withColumn("fp", F.lit(7).cast("long"))))
+    texts = ["a b c d e f g h", "a b c d e f g h i", "q r s t u v w", "A b c d e f g h", "k l m n o p"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.stage(spark, df, "").collect()} == {0, 2, 4}
