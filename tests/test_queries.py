@@ -68,3 +68,28 @@ def test_colouring_agrees_with_the_search(spark):
     assert sorted(map(tuple, G.depths(df, most=0).collect())) == sorted(map(tuple, G.depths(df).collect()))
     nodes = df.select(G.F.col("src").alias("path")).union(df.select("dst")).distinct()
     assert sorted(map(tuple, G.blast_radius(nodes, df, 0).collect())) == sorted(map(tuple, G.blast_radius(nodes, df).collect()))
+
+
+def test_blast_of_a_graph_whose_core_is_small(spark, monkeypatch):
+    import random
+
+    from srcprism.operators import graph as G
+
+    rng = random.Random(5)
+    pairs = {(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(12)} | {(f"s{i}", f"n{rng.randrange(9)}") for i in range(60) for _ in range(2)} | {("s1", "s2"), ("s2", "s1"), ("t", "n0")}
+    pairs = {(a, b) for a, b in pairs if a != b}
+    nodes = sorted({n for p in pairs for n in p} | {"alone"})
+    want = {}
+    for node in nodes:
+        seen, todo = {node}, [node]
+        while todo:
+            new = {a for a, b in pairs if b == todo[-1]} - seen
+            todo.pop()
+            seen |= new
+            todo += new
+        want[node] = len(seen) - 1
+    # More edges than one task may hold: the closure must not be needed.
+    monkeypatch.setattr(G, "reach", None)
+    df, modules = spark.createDataFrame(sorted(pairs), "src string, dst string"), spark.createDataFrame([(n,) for n in nodes], "path string")
+    assert dict(map(tuple, G.blast_radius(modules, df, 40, 7).collect())) == want
+    assert dict(map(tuple, G.blast_radius(modules, df.limit(0), 40, 7).collect())) == dict.fromkeys(nodes, 0)
