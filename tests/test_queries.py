@@ -93,3 +93,24 @@ def test_blast_of_a_graph_whose_core_is_small(spark, monkeypatch):
     df, modules = spark.createDataFrame(sorted(pairs), "src string, dst string"), spark.createDataFrame([(n,) for n in nodes], "path string")
     assert dict(map(tuple, G.blast_radius(modules, df, 40, 7).collect())) == want
     assert dict(map(tuple, G.blast_radius(modules, df.limit(0), 40, 7).collect())) == dict.fromkeys(nodes, 0)
+
+
+def _chained(spark):
+    """Cycles in the middle, leaves below, and importers above them in three layers."""
+    import random
+
+    rng = random.Random(8)
+    pairs = {(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(14)} | {(f"n{i}", f"z{i % 3}") for i in range(5)}
+    pairs |= {(f"a{i}", f"n{rng.randrange(9)}") for i in range(40)} | {(f"b{i}", f"a{rng.randrange(40)}") for i in range(40)} | {(f"c{i}", f"b{rng.randrange(40)}") for i in range(40)} | {("y", "x")}
+    return spark.createDataFrame(sorted((a, b) for a, b in pairs if a != b), "src string, dst string")
+
+
+def test_components_of_a_graph_whose_core_is_small_are_searched(spark, monkeypatch):
+    from srcprism.operators import graph as G
+
+    df, seen = _chained(spark), []
+    want = sorted(map(tuple, G.components(df).collect()))
+    ordered = G.ordered
+    monkeypatch.setattr(G, "ordered", lambda g: seen.append(g.count()) or ordered(g))
+    assert sorted(map(tuple, G.components(df, 30).collect())) == want
+    assert seen and seen[0] <= 30
