@@ -114,3 +114,13 @@ def test_components_of_a_graph_whose_core_is_small_are_searched(spark, monkeypat
     monkeypatch.setattr(G, "ordered", lambda g: seen.append(g.count()) or ordered(g))
     assert sorted(map(tuple, G.components(df, 30).collect())) == want
     assert seen and seen[0] <= 30
+
+
+def test_cycle_mass_of_a_graph_whose_core_is_small(spark, monkeypatch):
+    from srcprism.operators import graph as G
+
+    df = _chained(spark)
+    want = tuple(G.cycle_mass(G.components(df)).first())
+    ordered, seen = G.ordered, []
+    monkeypatch.setattr(G, "ordered", lambda g: seen.append(1) or ordered(g))
+    assert tuple(G.cycle_mass(G.components(df, 30)).first()) == want and seen
