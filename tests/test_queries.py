@@ -124,3 +124,15 @@ def test_cycle_mass_of_a_graph_whose_core_is_small(spark, monkeypatch):
     ordered, seen = G.ordered, []
     monkeypatch.setattr(G, "ordered", lambda g: seen.append(1) or ordered(g))
     assert tuple(G.cycle_mass(G.components(df, 30)).first()) == want and seen
+
+
+def test_depths_of_a_graph_whose_core_is_small_are_searched(spark, monkeypatch):
+    from srcprism.operators import graph as G
+
+    df, seen = _chained(spark), []
+    want = sorted(map(tuple, G.depths(df).collect()))
+    ordered = G.ordered
+    monkeypatch.setattr(G, "ordered", lambda g: seen.append(g.count()) or ordered(g))
+    for most in (30, 60, 110):
+        assert sorted(map(tuple, G.depths(df, most=most).collect())) == want
+    assert len(seen) == 3 and seen[0] <= 30
