@@ -136,3 +136,13 @@ def test_depths_of_a_graph_whose_core_is_small_are_searched(spark, monkeypatch):
     for most in (30, 60, 110):
         assert sorted(map(tuple, G.depths(df, most=most).collect())) == want
     assert len(seen) == 3 and seen[0] <= 30
+
+
+def test_deletable_needs_no_closure(spark, monkeypatch):
+    from srcprism.operators import graph as G
+
+    df = _chained(spark)
+    modules = df.select(G.F.col("src").alias("path")).union(df.select("dst")).distinct()
+    first = tuple(G.deletable(modules, G.blast_radius(modules, df)).first())
+    monkeypatch.setattr(G, "reach", None)
+    assert tuple(G.deletable(modules, G.blast_radius(modules, df, 110, 16)).first()) == first
