@@ -146,3 +146,13 @@ def test_deletable_needs_no_closure(spark, monkeypatch):
     first = tuple(G.deletable(modules, G.blast_radius(modules, df)).first())
     monkeypatch.setattr(G, "reach", None)
     assert tuple(G.deletable(modules, G.blast_radius(modules, df, 110, 16)).first()) == first
+
+
+def test_load_bearing_needs_no_closure(spark, monkeypatch):
+    from srcprism.operators import graph as G
+
+    df = _chained(spark)
+    modules = df.select(G.F.col("src").alias("path")).union(df.select("dst")).distinct()
+    want = list(map(tuple, G.load_bearing(G.blast_radius(modules, df)).collect()))
+    monkeypatch.setattr(G, "reach", None)
+    assert list(map(tuple, G.load_bearing(G.blast_radius(modules, df, 110, 16)).collect())) == want
