@@ -156,3 +156,36 @@ def test_load_bearing_needs_no_closure(spark, monkeypatch):
     want = list(map(tuple, G.load_bearing(G.blast_radius(modules, df)).collect()))
     monkeypatch.setattr(G, "reach", None)
     assert list(map(tuple, G.load_bearing(G.blast_radius(modules, df, 110, 16)).collect())) == want
+
+
+def test_maximal_clones_of_nested_sites_are_dealt_over_files(spark):
+    import random
+
+    from srcprism.operators import recur
+
+    rng = random.Random(4)
+    sites, used = [], set()
+    for h in range(40):
+        mass = rng.randrange(5, 40)
+        for _ in range(rng.randrange(1, 6)):
+            path, line = f"p{rng.randrange(6)}", rng.randrange(1, 60)
+            end = line + rng.randrange(0, 30)
+            if (h, path, line) not in used:
+                used.add((h, path, line))
+                sites.append((path, f"h{h:02}", mass, line, end))
+    by_hash, spans, want = {}, {}, []
+    for s in sites:
+        by_hash.setdefault(s[1], []).append(s)
+    tried = {h: g for h, g in by_hash.items() if len(g) > 1}
+    for h in sorted(tried, key=lambda h: (-(len(tried[h]) - 1) * tried[h][0][2], *min((s[0], s[3]) for s in tried[h]), h)):
+        fresh = [s for s in tried[h] if not any(a <= s[3] and s[4] <= b for a, b in spans.get(s[0], ()))]
+        if len(fresh) >= 2:
+            want.append((h, len(fresh), (len(fresh) - 1) * fresh[0][2]))
+            for s in tried[h]:
+                spans.setdefault(s[0], []).append((s[3], s[4]))
+    assert 3 < len(want) < len(tried)
+    df = spark.createDataFrame(sites, "path string, hash string, mass int, line int, end_line int")
+    got = recur.maximal_clones(df)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    # No task gets all sites: a constant key would.
+    assert "[g#" not in got._jdf.queryExecution().toString()
