@@ -189,3 +189,28 @@ def test_maximal_clones_of_nested_sites_are_dealt_over_files(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     # No task gets all sites: a constant key would.
     assert "[g#" not in got._jdf.queryExecution().toString()
+
+
+def _worded(spark):
+    import random
+
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(40)}" for _ in range(30)]
+    texts = [(f"p{i % 17}", "", base[rng.randrange(9) :] + [f"x{rng.randrange(3)}" for _ in range(rng.randrange(9))]) for i in range(20)]
+    return spark.createDataFrame(texts, "path string, unit string, tokens array<string>")
+
+
+def test_suppressed_prints_move_no_units_and_count_a_path_once(spark):
+    from srcprism.operators import recur
+
+    tokens = _worded(spark)
+    posts = {}
+    for path, _, fp in recur.prints(tokens).collect():
+        posts.setdefault(fp, set()).add(path)
+    wide = [len(u) for u in posts.values() if len(u) > 4]
+    assert wide and all(len(fp) == 32 for fp in posts)
+    got = recur.suppressed_prints(recur.print_sets(tokens), tokens.select("path", "unit"), 4)
+    assert tuple(got.first()) == (len(wide), max(wide))
+    once = spark.createDataFrame(tokens.dropDuplicates(["path"]).collect(), tokens.schema)
+    plan = recur.suppressed_prints(recur.print_sets(once), once.select("path", "unit"), 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == 1 and "hashpartitioning(fp" in plan
