@@ -214,3 +214,26 @@ def test_suppressed_prints_move_no_units_and_count_a_path_once(spark):
     once = spark.createDataFrame(tokens.dropDuplicates(["path"]).collect(), tokens.schema)
     plan = recur.suppressed_prints(recur.print_sets(once), once.select("path", "unit"), 4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(") == 1 and "hashpartitioning(fp" in plan
+
+
+def test_near_clones_of_paths_that_come_twice(spark):
+    from srcprism.operators import recur
+
+    tokens = _worded(spark).where("length(path) = 2")
+    of = {}
+    for path, _, fp in recur.prints(tokens).collect():
+        of.setdefault(path + "#", set()).add(fp)
+    posts = {}
+    for u, fps in of.items():
+        for fp in fps:
+            posts.setdefault(fp, []).append(u)
+    want = []
+    for a in of:
+        for b in of:
+            shared = sum(2 <= len(posts[fp]) <= 12 for fp in of[a] & of[b])
+            if a < b and shared and shared / min(len(of[a]), len(of[b])) >= 0.3:
+                want.append((a, b, shared, round(shared / min(len(of[a]), len(of[b])), 6)))
+    got = recur.near_clones(recur.print_sets(tokens), least=0.3)
+    assert want and sorted(map(tuple, got.collect())) == sorted(want)
+    # Pairs move as numbers.
+    assert "hashpartitioning(x" in got._jdf.queryExecution().executedPlan().toString()
