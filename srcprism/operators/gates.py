@@ -99,10 +99,11 @@ def untested(broke: DataFrame, test_refs: DataFrame) -> DataFrame:
 
 
 def tensions(facts: dict[str, DataFrame], least: int = 3) -> DataFrame:
-    """Paths at which several kinds of trouble meet; ``facts`` names a table of paths each."""
+    """Paths at which several kinds of trouble meet; ``facts`` names a table of paths each, or one
+    whose own column ``fact`` names them."""
     rows = None
     for name, df in sorted(facts.items()):
-        part = df.select("path", F.lit(name).alias("fact")).distinct()
+        part = df.select("path", F.col("fact") if "fact" in df.columns else F.lit(name).alias("fact")).distinct()
         rows = part if rows is None else rows.unionByName(part)
     met = rows.groupBy("path").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("fact")), ",").alias("facts"))
     return met.where(F.col("n") >= least)

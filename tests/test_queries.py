@@ -237,3 +237,10 @@ def test_near_clones_of_paths_that_come_twice(spark):
     assert want and sorted(map(tuple, got.collect())) == sorted(want)
     # Pairs move as numbers.
     assert "hashpartitioning(x" in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_tensions_measure_files_once(spark):
+    plan = QUERIES["tensions"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # Measures of files and of lines, sites and the hashes that recur among them, debts.
+    assert plan.count("Relation [doc_id") == 5
